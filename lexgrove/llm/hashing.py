@@ -26,7 +26,7 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def mixed(a: np.ndarray, b: np.ndarray | np.uint64, salt: np.uint64 = _C) -> np.ndarray:
+def mixed(a: np.ndarray, b: np.ndarray, salt: np.uint64 = _C) -> np.ndarray:
     """A hash of the ordered pair."""
     x = a * _A + (b ^ salt) * _B
     x ^= x >> np.uint64(29)
@@ -50,4 +50,4 @@ def sequences(words: np.ndarray, size: int, salt: np.uint64 = _C) -> np.ndarray:
         if left:
             block = mixed(block[:-step], block[step:], salt)
             step *= 2
-    return mixed(out, np.uint64(size), salt)
+    return mixed(out, np.array([size], np.uint64), salt)
