@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, ngram_jaccard, packing, quality_classifier, quality_rules, secrets, sentencepiece_codec, substring_dedup, warc
+from . import ann, html_text, ngram_jaccard, packing, quality_classifier, quality_rules, secrets, sentencepiece_codec, substring_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
