@@ -143,7 +143,7 @@ def _stacked(column: pa.Array) -> np.ndarray:
 
 def search(vectors: DataFrame, wanted: Column, k: int = 5, degree: int = 32, beam: int = 64) -> DataFrame:
     """query_id, rank, id, score: the k nearest rows found for each row that is wanted (a condition on id)."""
-    rows = materialize(usable(vectors), "vectors")
+    rows = materialize(usable(vectors).distinct(), "vectors")
     node = F.xxhash64("vector").alias("a"), F.hash("vector").alias("b")  # 96 bits for the vector
     # of each vector the k + 1 smallest ids are all that any query can need
     members = rows.select(F.struct(*node).alias("node"), "id", "vector").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where(F.col("place") <= k + 1)
