@@ -183,7 +183,7 @@ def list_items(docs: DataFrame) -> DataFrame:
                     items[-1][2].append(m[5] if m else line)
                     items[-1][3] |= "«" in line
                     depth += line.count("«") - line.count("»")
-                rows += [(doc_id, i, label, kind, "\n".join(content), quoted) for i, (label, kind, content, quoted) in enumerate(items) if content]
+                rows += [(doc_id, i, label, kind, "\n".join(content), quoted) for i, (label, kind, content, quoted) in enumerate(items) if i or any(content)]
             yield pd.DataFrame(rows, columns=["doc_id", "item", "label", "kind", "content", "quoted"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, item int, label string, kind string, content string, quoted boolean")
