@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_text, ngram_jaccard, packing, quality_classifier, quality_rules, secrets, sentencepiece_codec, substring_dedup, warc
+from . import ann, html_text, ngram_jaccard, oracles, packing, quality_classifier, quality_rules, secrets, sentencepiece_codec, substring_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
