@@ -141,24 +141,59 @@ def _earliest(doc: np.ndarray, start: np.ndarray, key: np.ndarray, check: np.nda
     return out
 
 
-_PLACES = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("places", pa.binary()), ("docs", pa.binary())])
+_PLACES = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
 _LEAST = np.iinfo(np.int64).min
 
 
-def _by_document(ids: np.ndarray, texts: np.ndarray, doc: np.ndarray, start: np.ndarray) -> dict[str, list]:
-    """One row for each document that has entries: the starts of its windows that also start earlier."""
-    order = np.lexsort((start, doc))
+def _framed(parts: list[bytes]) -> bytes:
+    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+
+
+def _unframed(data: bytes) -> list[bytes]:
+    parts, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "little")
+        parts.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    return parts
+
+
+def _by_bucket(ids: np.ndarray, texts: np.ndarray, doc: np.ndarray, start: np.ndarray, buckets: int) -> dict[str, list]:
+    """One row for each bucket of documents: starts of windows, with their documents. ids and texts are by doc."""
+    own, doc = np.unique(doc, return_inverse=True)
+    ids, texts = ids[own], texts[own]
+    bucket = (mixed(ids.view(np.uint64), texts.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((start, doc, bucket[doc]))
     doc, start = doc[order], start[order]
-    cuts = np.flatnonzero(np.diff(doc, prepend=-1, append=-1)) if len(doc) else np.zeros(1, np.int64)
-    own = doc[cuts[:-1]]
-    return {
-        "doc_id": [None if i == _LEAST else i for i in ids[own].tolist()], "text_hash": texts[own].tolist(),
-        "places": [start[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
-    }
+    cuts = np.flatnonzero(np.diff(bucket[doc], prepend=-1, append=-1)) if len(doc) else np.zeros(1, np.int64)
+    rows = {"bucket": bucket[doc[cuts[:-1]]].tolist(), "data": []}
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        first = np.flatnonzero(np.diff(doc[a:b], prepend=-1))
+        rows["data"].append(_framed([ids[doc[a:b][first]].tobytes(), texts[doc[a:b][first]].tobytes(), _pack(np.diff(first, append=b - a), "<u4"), _pack(np.diff(start[a:b], prepend=0), "<i4")]))
+    return rows
+
+
+def _collected(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document of a bucket."""
+    parts: list[list[np.ndarray]] = [[], [], []]
+    for batch in batches:
+        for data in batch.column("data"):
+            ids, texts, counts, starts = _unframed(data.as_py())
+            counts = _unpack(counts, "<u4")
+            for p, v in zip(parts, (np.repeat(np.frombuffer(ids, np.int64), counts), np.repeat(np.frombuffer(texts, np.int64), counts), np.cumsum(_unpack(starts, "<i4").astype(np.int64))), strict=True):
+                p.append(v)
+    ids, texts, start = map(np.concatenate, parts)
+    order = np.lexsort((start, texts, ids))
+    ids, texts, start = ids[order], texts[order], start[order].astype("<u4")
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1])
+    cuts = np.append(np.flatnonzero(new), len(ids))
+    of = ids[cuts[:-1]]
+    yield pa.record_batch([pa.array(of, pa.int64(), mask=of == _LEAST), pa.array(texts[cuts[:-1]]), pa.array([start[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["doc_id", "text_hash", "places"])
 
 
 def repeated(docs: DataFrame, size: int = 20, sketch_bits: int = SKETCH_BITS) -> DataFrame:
-    """doc_id, text_hash, places: starts (little-endian unsigned 32-bit) of the document's windows that also start earlier, in any number of rows."""
+    """doc_id, text_hash, places: starts (little-endian unsigned 32-bit) of the document's windows that also start earlier."""
     texts = _texts(docs)
     spark = docs.sparkSession
     marks, windows = sketch(texts, size, sketch_bits)
@@ -186,8 +221,8 @@ def repeated(docs: DataFrame, size: int = 20, sketch_bits: int = SKETCH_BITS) ->
             start, key, check = (np.concatenate([np.empty(0, np.uint64), *(x[i] for x in held)]).astype(t) for i, t in ((2, np.uint32), (3, np.uint64), (4, np.uint32)))
             doc = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x[2]) for x in held])
             first = _earliest(doc, start, key, check)
-            rows = _by_document(ids, of_text, doc[~first], start[~first])
-            rows |= {"shard": [-1] * len(rows["doc_id"]), "docs": [b""] * len(rows["doc_id"])}
+            rows = _by_bucket(ids, of_text, doc[~first], start[~first], shards)
+            rows["shard"] = [-1] * len(rows["bucket"])
             doc, start, key, check = doc[first], start[first], key[first], check[first]
             shard = (key % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
@@ -196,10 +231,8 @@ def repeated(docs: DataFrame, size: int = 20, sketch_bits: int = SKETCH_BITS) ->
                 if (at := order[cuts[s] : cuts[s + 1]]).size:
                     own, local = np.unique(doc[at], return_inverse=True)
                     rows["shard"].append(s)
-                    rows["doc_id"].append(None)
-                    rows["text_hash"].append(None)
-                    rows["places"].append(zlib.compress(start[at].tobytes(), 1))
-                    rows["docs"].append(b"".join(len(b).to_bytes(4, "little") + b for b in (_pack(local, "<u4"), key[at].tobytes(), check[at].tobytes(), ids[own].tobytes(), of_text[own].tobytes())))
+                    rows["bucket"].append(None)
+                    rows["data"].append(_framed([_pack(start[at], "<u4"), _pack(local, "<u4"), key[at].tobytes(), check[at].tobytes(), ids[own].tobytes(), of_text[own].tobytes()]))
             held, count = [], 0
             return pa.record_batch([pa.array(rows[f.name], f.type) for f in _PLACES], schema=_PLACES)
 
@@ -217,19 +250,15 @@ def repeated(docs: DataFrame, size: int = 20, sketch_bits: int = SKETCH_BITS) ->
                         yield emit()
         yield emit()
 
-    found = materialize(texts.mapInArrow(run, "shard int, doc_id long, text_hash long, places binary, docs binary"), "windows")
+    found = materialize(texts.mapInArrow(run, "shard int, bucket int, data binary"), "windows")
 
     def group(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = [[] for _ in range(5)]
         for batch in batches:
-            for places, docs in zip(batch.column("places"), batch.column("docs"), strict=True):
-                fields, data, at = [], docs.as_py(), 0
-                while at < len(data):
-                    n = int.from_bytes(data[at : at + 4], "little")
-                    fields.append(data[at + 4 : at + 4 + n])
-                    at += 4 + n
-                local = _unpack(fields[0], "<u4")
-                values = (_unpack(places.as_py(), "<u4"), np.frombuffer(fields[1], np.uint64), np.frombuffer(fields[2], np.uint32), np.frombuffer(fields[3], np.int64)[local], np.frombuffer(fields[4], np.int64)[local])
+            for data in batch.column("data"):
+                starts, local, keys, checks, ids, of_text = _unframed(data.as_py())
+                local = _unpack(local, "<u4")
+                values = (_unpack(starts, "<u4"), np.frombuffer(keys, np.uint64), np.frombuffer(checks, np.uint32), np.frombuffer(ids, np.int64)[local], np.frombuffer(of_text, np.int64)[local])
                 for p, v in zip(parts, values, strict=True):
                     p.append(v)
         start, hashed, check, ids, of_text = map(np.concatenate, parts)
@@ -245,26 +274,25 @@ def repeated(docs: DataFrame, size: int = 20, sketch_bits: int = SKETCH_BITS) ->
         lead = np.maximum.accumulate(np.where(later[first], 0, np.arange(len(first))))
         same = (doc[first] == doc[first][lead]) & (start[first] == start[first][lead])
         later[first[same]] = False
-        rows = _by_document(ids[own], of_text[own], doc[later], start[later])
-        yield pa.record_batch([pa.array(rows["doc_id"], pa.int64()), pa.array(rows["text_hash"], pa.int64()), pa.array(rows["places"], pa.binary())], names=["doc_id", "text_hash", "places"])
+        rows = _by_bucket(ids[own], of_text[own], doc[later], start[later], shards)
+        yield pa.record_batch([pa.array(rows["bucket"], pa.int32()), pa.array(rows["data"], pa.binary())], names=["bucket", "data"])
 
-    exact = found.where("shard >= 0").select("shard", "places", "docs").groupBy("shard").applyInArrow(group, "doc_id long, text_hash long, places binary")
-    return found.where("shard < 0").select("doc_id", "text_hash", "places").unionByName(exact)
+    exact = found.where("shard >= 0").select("shard", "data").groupBy("shard").applyInArrow(group, "bucket int, data binary")
+    return found.where("shard < 0").select("bucket", "data").unionByName(exact).groupBy("bucket").applyInArrow(_collected, "doc_id long, text_hash long, places binary")
 
 
-def covered(words: int, places: list[bytes], size: int) -> np.ndarray:
+def covered(words: int, places: bytes, size: int) -> np.ndarray:
     """Marks the words under windows that start at the places."""
     edge = np.zeros(words + 1, np.int64)
-    for p in places:
-        at = np.frombuffer(p, "<u4").astype(np.int64)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + size, -1)
+    at = np.frombuffer(places, "<u4").astype(np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + size, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
 def remove_repeated(docs: DataFrame, size: int = 20, sketch_bits: int = SKETCH_BITS, columns: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space), and the named columns of docs as c0, c1 and so on."""
-    places = repeated(docs, size, sketch_bits).groupBy("doc_id", "text_hash").agg(F.collect_list("places").alias("places"))  # at most a row per shard and document
+    places = repeated(docs, size, sketch_bits)
     named = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)))
     left = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(f"c{i}" for i in range(len(columns)))).withColumn("text_hash", F.xxhash64("text"))
     right = places.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "places")
