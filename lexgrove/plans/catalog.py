@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexgrove.functions import fuzzy
 from lexgrove.functions import text as X
-from lexgrove.operators import graph, hierarchy, lines, matching, profile, scoring, statistics
+from lexgrove.operators import graph, hierarchy, lines, matching, parsers, profile, scoring, statistics
 from lexgrove.streaming import inbox
 
 Table = Callable[[str], DataFrame]
@@ -518,6 +519,51 @@ def catalog_union(t: Table) -> DataFrame:
     return c.where("c_custkey % 2 = 0").select(F.col("c_name").alias("name")).unionByName(t("supplier").select(F.col("s_name").alias("name"))).unionByName(c.where("c_custkey % 3 = 0").select(F.col("c_name").alias("name"))).distinct()
 
 
+# parsers
+
+
+def _articles(t: Table) -> DataFrame:
+    """Lines of documents, every fourth of which is the heading of an article."""
+    heading = F.concat(F.lit("Articolo "), (F.floor(F.col("seq") / 4) + 1).cast("string"))
+    return lines.lines_of(t("documents")).withColumn("line", F.when(F.col("seq") % 4 == 0, heading).otherwise(F.col("line")))
+
+
+ARTICLES = rf"SELECT doc_id, seq, CASE WHEN seq % 4 = 0 THEN 'Articolo ' || (seq // 4 + 1) ELSE line END AS line FROM ({LINES})"
+
+
+@query(
+    rf"""SELECT doc_id, CAST(seq // 4 + 1 AS BIGINT) AS number, max(CASE WHEN seq % 4 = 1 THEN line END) AS title, coalesce(string_agg(CASE WHEN seq % 4 > 1 THEN line END, chr(10) ORDER BY seq), '') AS content FROM ({ARTICLES}) GROUP BY 1, 2"""
+)
+def regulation_articles(t: Table) -> DataFrame:
+    return parsers.regulation(_articles(t)).select("doc_id", "number", "title", "content")
+
+
+@query(
+    rf"""SELECT doc_id, 'article' AS kind, max(CASE WHEN seq % 4 = 0 THEN trim(line) END) AS label, coalesce(string_agg(CASE WHEN seq % 4 > 0 THEN line END, chr(10) ORDER BY seq), '') AS content FROM ({ARTICLES}) GROUP BY doc_id, seq // 4"""
+)
+def gazette_parts(t: Table) -> DataFrame:
+    return parsers.gazette(_articles(t)).select("doc_id", "kind", "label", "content")
+
+
+@query("SELECT DISTINCT name FROM (SELECT (o_custkey % 100) || '_vs_' || (o_orderkey % 100) || '.json' AS name, o_custkey % 100 AS a, o_orderkey % 100 AS b FROM orders) WHERE a < 5 OR b < 5")
+def derived_files(t: Table) -> DataFrame:
+    o = t("orders")
+    name = F.concat_ws("_vs_", (F.col("o_custkey") % 100).cast("string"), F.concat((F.col("o_orderkey") % 100).cast("string"), F.lit(".json")))
+    return parsers.derived_files(o.select(name.alias("name")), o.select((F.col("o_custkey") % 100).cast("string").alias("hash")).where("cast(hash as int) < 5"))
+
+
+@query("SELECT event_id, CAST(json_keys(props) AS VARCHAR) AS fields FROM events")
+def tolerant_answers(t: Table) -> DataFrame:
+    parsed = fuzzy.tolerant_json(F.concat(F.lit("Answer:\n"), F.col("props"), F.lit("\nend")))
+    fields = F.concat(F.lit("["), F.array_join(F.json_object_keys(parsed), ", "), F.lit("]"))
+    return t("events").select("event_id", fields.alias("fields"))
+
+
+@query()
+def fuzzy_names(t: Table) -> DataFrame:
+    return t("part").select("p_partkey", fuzzy.fuzzy_ratio("p_name", "p_type").alias("ratio"), fuzzy.fuzzy_partial_ratio("p_brand", "p_name").alias("partial"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 
