@@ -27,11 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import WordHashes, mixed, sequences
-from .scratch import materialize
+from .scratch import materialize, ranges_for
 
 #: Cells of the count sketch, as a power of two: one byte of each is broadcast, 16 MB whatever the corpus.
 ORDER_BITS = 24
-RANGES = 16
 #: n-grams that a task counts before it passes the counts on.
 HELD = 3_000_000
 FRAGMENTS = 4
@@ -54,7 +53,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def frequency_classes(texts: DataFrame, size: int, bits: int = ORDER_BITS) -> np.ndarray:
     """By cell of the hash the number of binary digits of its count."""
-    per_range = (1 << bits) // RANGES
+    ranges = min(ranges_for(texts), 1 << bits)
+    per_range = (1 << bits) // ranges
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, count = WordHashes(), [], 0
@@ -62,7 +62,7 @@ def frequency_classes(texts: DataFrame, size: int, bits: int = ORDER_BITS) -> np
         def emit() -> pa.RecordBatch:
             nonlocal held, count
             cells, n = np.unique((np.concatenate([np.empty(0, np.uint64), *held]) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-            cuts = np.searchsorted(cells, np.arange(RANGES + 1) * per_range)
+            cuts = np.searchsorted(cells, np.arange(ranges + 1) * per_range)
             parts = [(r, slice(a, b)) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
             held, count = [], 0
             packed = lambda x: zlib.compress(x.astype("<u4").tobytes(), 1)

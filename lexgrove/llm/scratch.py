@@ -42,6 +42,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranges_for(df: DataFrame, each: int = 64 << 20) -> int:
+    """A power of two from 16 to 1024 that grows with the input's estimated bytes: ranges by which partial results of fixed total size are merged."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(1024, max(16, 1 << (size // each).bit_length()))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -29,12 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import WordHashes, mixed, sequences
-from .scratch import materialize
+from .scratch import materialize, ranges_for
 
 #: Cells of each of the sketch's two rows, as a power of two: 2 x 16 MB of bits are broadcast, whatever the corpus.
 SKETCH_BITS = 27
-#: Ranges of cells by which partition sketches are merged.
-RANGES = 16
 #: Places or windows that a task holds before it passes them on, and windows that an exact shard gets.
 HELD, SHARD = 1_500_000, 1_500_000
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -78,7 +76,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def sketch(texts: DataFrame, size: int, bits: int) -> tuple[np.ndarray, int]:
     """Bits of cells counted twice or more, both rows after one another, and the number of windows."""
-    cells_per_range = (1 << bits) // RANGES
+    ranges = min(ranges_for(texts), 1 << max(bits - 3, 0))
+    cells_per_range = (1 << bits) // ranges
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, windows, count = WordHashes(), [], 0, 0
@@ -89,11 +88,11 @@ def sketch(texts: DataFrame, size: int, bits: int) -> tuple[np.ndarray, int]:
             places = np.concatenate([np.empty(0, np.uint64), *held])
             for row, cells in enumerate(_cells(places, bits)):
                 cells, n = np.unique(cells, return_counts=True)
-                cuts = np.searchsorted(cells, np.arange(RANGES + 1) * cells_per_range)
-                for r in range(RANGES):
+                cuts = np.searchsorted(cells, np.arange(ranges + 1) * cells_per_range)
+                for r in range(ranges):
                     part = cells[cuts[r] : cuts[r + 1]] - r * cells_per_range
                     if len(part):
-                        rows.append((row * RANGES + r, _pack(np.diff(part, prepend=0), "<u4"), _pack(np.packbits(n[cuts[r] : cuts[r + 1]] > 1), "u1"), 0))
+                        rows.append((row * ranges + r, _pack(np.diff(part, prepend=0), "<u4"), _pack(np.packbits(n[cuts[r] : cuts[r + 1]] > 1), "u1"), 0))
             rows.append((-1, b"", b"", windows))
             held, windows, count = [], 0, 0
             return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["range", "cells", "twice", "windows"])
