@@ -17,6 +17,15 @@ p AS (SELECT mean, CASE WHEN beyond > 0 THEN least(greatest(mean * (1 - mean) /
 r AS (SELECT source, (bad + mean * weight) / (docs + weight) AS rate FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(rate, 0) <= 0.5 AS kept FROM g LEFT JOIN r USING (source)"""
 
+OP6 = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 2), ' ') AS k FROM d, unnest(range(1, greatest(len(words) - 1, 2))) AS u(i) WHERE len(words) > 0),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+half AS (SELECT a, b FROM o JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+links AS (SELECT a, b FROM half UNION SELECT b, a FROM half),
+reach AS (SELECT a AS doc_id, b AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT d.doc_id, coalesce(any_value(c.n), 0) AS n_shingles, coalesce(least(d.doc_id, min(r.other)), d.doc_id) AS component_id FROM d LEFT JOIN c USING (doc_id) LEFT JOIN reach r USING (doc_id) GROUP BY d.doc_id"""
+
 OP7 = rf"""WITH d AS (SELECT doc_id, {WORDS} AS words FROM documents),
 windows AS (SELECT doc_id, i, array_to_string(list_slice(words, i, i + 19), ' ') AS k FROM d, unnest(range(1, len(words) - 18)) AS u(i)),
 later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1),
@@ -28,4 +37,4 @@ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_re
 OP9 = """SELECT page_id, bytes AS payload_bytes, sha256(html) AS payload_digest, CASE WHEN bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN bytes >= 100 AND page_id > first THEN first END AS refers_to
 FROM (SELECT page_id, html, CAST(strlen(html) AS BIGINT) AS bytes, min(page_id) OVER (PARTITION BY html) AS first FROM (SELECT page_id, coalesce(html, '') AS html FROM pages))"""
 
-SQL = {"op2_quality_rules": OP2, "op7_substring_dedup": OP7, "op9_warc": OP9}
+SQL = {"op2_quality_rules": OP2, "op6_ngram_jaccard_join": OP6, "op7_substring_dedup": OP7, "op9_warc": OP9}
