@@ -69,6 +69,12 @@ def plain_complexity(t: Table) -> DataFrame:
     return docs.select("doc_id", (F.regexp_count("text", F.lit(r"[A-Z]{2,}|\d{4,}")) / F.greatest(marks, F.lit(1))).alias("complexity"))
 
 
+@query()
+def content_complexity(t: Table) -> DataFrame:
+    """Over all texts, with whole words; a null text has a null complexity. DuckDB's word boundaries know ASCII letters only."""
+    return t("documents").select("doc_id", X.complexity(F.col("text")).alias("complexity"))
+
+
 @query(
     r"""SELECT o_orderkey, coalesce(nullif(regexp_extract(d, '\d{2}/\d{2}/\d{4}'), ''), nullif(regexp_extract(d, '\d{4}-\d{2}-\d{2}'), ''), '') AS first_date, epoch(DATE '1998-12-31'::TIMESTAMP) - epoch(o_orderdate) AS seconds
     FROM (SELECT *, 'ref ' || CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d FROM orders)"""
