@@ -1,8 +1,8 @@
 """Secret scans in DataFrame functions only.
 
 Base patterns are assignments of credentials, access keys and long hexadecimal runs. Beyond these,
-mixed tokens of 20 characters or more are tested for randomness in the encoding that their characters
-allow: chi-squared uniformity over the alphabet, a runs test and lag-1 serial correlation, combined
+mixed tokens of 20 characters or more, parted at "=", are tested for randomness in the encoding that
+their characters allow; of a token that no encoding allows, the longest parts that one does: chi-squared uniformity over the alphabet, a runs test and lag-1 serial correlation, combined
 by Fisher's method. Within bands of length, a Benjamini-Hochberg cut at level q over the whole corpus
 tells which tokens are significantly unlike random ones; the others are taken for secrets.
 
@@ -26,7 +26,8 @@ from .scratch import materialize
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}+"
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}+"
+# A run, with the padding that ends it; other "=" part names from values.
+TOKEN = r"[A-Za-z0-9+/_-]{20,}+(?:=++(?![A-Za-z0-9+/_-]))?"
 ALPHABETS = {
     "hex": ("^[0-9a-fA-F]+$", "0123456789abcdef"),
     "base32": ("^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
@@ -104,15 +105,31 @@ def _encoding(token: Column) -> Column:
     return chosen
 
 
+def _pieces(found: Column) -> Column:
+    """start, end, t and a of each run that an alphabet fits; of other runs each maximal part of 20 characters or more in an alphabet."""
+    plain = F.transform(found, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), F.rtrim(f["token"], F.lit("=")).alias("t")))
+
+    def parts(f: Column) -> Column:
+        cut = F.concat(*(located(f["t"], pattern[1:-2] + "{20,}+") for pattern, _ in ALPHABETS.values()))
+        placed = lambda p: F.struct(
+            (f["start"] + p["start"]).alias("start"),
+            F.when(p["end"] == F.length(f["t"]), f["end"]).otherwise(f["start"] + p["end"]).alias("end"),
+            p["token"].alias("t"),
+        )
+        return F.array_distinct(F.transform(cut, placed))
+
+    fits = lambda f: _encoding(f["t"]).isNotNull()
+    cut = F.concat(F.filter(plain, fits), F.flatten(F.transform(F.filter(plain, lambda f: ~fits(f)), parts)))
+    return F.transform(cut, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), f["t"].alias("t"), _encoding(f["t"]).alias("a")))
+
+
 def _instr(alphabet: Column, char: Column) -> Column:
     return F.call_function("instr", alphabet, char)
 
 
 def _tested(found: Column) -> Column:
     """start, end, p and band of each token that mixes letters with two digits or more."""
-    plain = F.transform(found, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), F.rtrim(f["token"], F.lit("=")).alias("t")))
-    mixed = F.filter(plain, lambda f: F.regexp_like(f["t"], F.lit(r"[A-Za-z]")) & F.regexp_like(f["t"], F.lit(r"[0-9].*[0-9]")) & (F.length(f["t"]) >= 20))
-    typed = F.filter(F.transform(mixed, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), f["t"].alias("t"), _encoding(f["t"]).alias("a"))), lambda f: f["a"].isNotNull())
+    typed = F.filter(_pieces(found), lambda f: F.regexp_like(f["t"], F.lit(r"[A-Za-z]")) & F.regexp_like(f["t"], F.lit(r"[0-9].*[0-9]")))
 
     def numbers(f: Column) -> Column:
         t = F.when(F.length(f["a"]) == 16, F.lower(f["t"])).otherwise(f["t"])

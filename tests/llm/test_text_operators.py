@@ -95,6 +95,22 @@ def test_redaction(leaky):
     assert not any(base_spans(t or "") for t in by.values())
 
 
+def found_secrets(df):
+    return {r["doc_id"]: [r["kept_text"][x["start"] : x["end"]] for x in r["spans"] if x["order"] == 3] for r in rows(secrets.scan(df, keep=("text",)))}
+
+
+def test_secrets_joined_to_other_text(spark, leaky):
+    key = leaky[2]
+    assert {"+", "/"} & set(key)
+    forms = ["SERVICE_ACCESS_ID={}", "https://h.example/p?sig={}&x=1", "my_deploy_{} now", "at opt/app_x/{}, x", "\U0001f600 {}== x", "A_B={}=", "a=b={}==c={}", "my_deploy_{}= x"]
+    df = spark.createDataFrame([(i, f.replace("{}", key)) for i, f in enumerate(forms)], "doc_id long, text string")
+    got = found_secrets(df)
+    for i, form in enumerate(forms):
+        assert sum(key in t for t in got[i]) == form.count("{}")
+    assert got[4] == [key + "=="] and got[5] == [key + "="] and got[6] == [key, key] and key + "=" in got[7]
+    assert all(key not in r["text"] for r in rows(secrets.redact_documents(df)))
+
+
 def test_secrets_without_rows(no_documents):
     assert rows(secrets.scan(no_documents)) == [] and rows(secrets.redact_documents(no_documents)) == []
 
