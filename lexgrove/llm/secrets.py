@@ -1,7 +1,7 @@
 """Secret scans in DataFrame functions only.
 
 Base patterns are assignments of credentials, access keys and long hexadecimal runs. Beyond these,
-mixed tokens of 20 characters or more, parted at "=", are tested for randomness in the encoding that
+tokens of 20 characters or more, parted at "=", are tested for randomness in the encoding that
 their characters allow; of a token that no encoding allows, the longest parts that one does: chi-squared uniformity over the alphabet, a runs test and lag-1 serial correlation, combined
 by Fisher's method. Within bands of length, a Benjamini-Hochberg cut at level q over the whole corpus
 tells which tokens are significantly unlike random ones; the others are taken for secrets.
@@ -128,8 +128,8 @@ def _instr(alphabet: Column, char: Column) -> Column:
 
 
 def _tested(found: Column) -> Column:
-    """start, end, p and band of each token that mixes letters with two digits or more."""
-    typed = F.filter(_pieces(found), lambda f: F.regexp_like(f["t"], F.lit(r"[A-Za-z]")) & F.regexp_like(f["t"], F.lit(r"[0-9].*[0-9]")))
+    """start, end, p and band of each piece."""
+    typed = _pieces(found)
 
     def numbers(f: Column) -> Column:
         t = F.when(F.length(f["a"]) == 16, F.lower(f["t"])).otherwise(f["t"])

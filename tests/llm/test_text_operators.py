@@ -111,6 +111,16 @@ def test_secrets_joined_to_other_text(spark, leaky):
     assert all(key not in r["text"] for r in rows(secrets.redact_documents(df)))
 
 
+def test_secrets_with_few_digits(spark):
+    rng = np.random.default_rng(11)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+    keys = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "".join(rng.choice(letters, 40)), "".join(rng.choice(letters + ["+", "/"], 44)) + "5"]
+    words = ["internationalization", "donaudampfschifffahrtsgesellschaft", "-" * 40, "/usr/local/share/doc/index/of/some", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    texts = [f"AWS_SECRET_ACCESS_KEY={keys[0]}", *(f"see {k} here" for k in keys[1:]), *(f"see {w} here" for w in words)]
+    got = found_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert got == {i: [keys[i]] if i < len(keys) else [] for i in range(len(texts))}
+
+
 def test_secrets_without_rows(no_documents):
     assert rows(secrets.scan(no_documents)) == [] and rows(secrets.redact_documents(no_documents)) == []
 
