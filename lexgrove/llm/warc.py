@@ -60,13 +60,17 @@ def record(date: str) -> Column:
     )
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 100, max_records: int = 2000, date: str | None = None) -> None:
-    """Write a record for each row of pages (page_id, url, html) to archives in the folder."""
+def _write(records: DataFrame, path: str, max_records: int, date: str | None) -> None:
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    lines = resolve(pages, least_bytes).select(record(date).alias("value"))
+    lines = records.select(record(date).alias("value"))
     lines.write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", max_records).text(path)
 
 
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 100, max_records: int = 2000, date: str | None = None) -> None:
+    """Write a record for each row of pages (page_id, url, html) to archives in the folder."""
+    _write(resolve(pages, least_bytes), path, max_records, date)
+
+
 def _headers(data: bytes) -> dict[str, str]:
     lines = data.decode("utf-8", "replace").split(EOL)
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
@@ -111,10 +115,30 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
 
 
-def deduplicate_archives(spark: SparkSession, source: str, target: str, least_bytes: int = 100) -> None:
-    """Read archives of responses, resolve revisits, write archives with fresh headers."""
-    records = read_archives(spark, source).where("record_type = 'response'")
-    write_archives(records.select("page_id", "url", F.col("payload").cast("string").alias("html")), target, least_bytes)
+def deduplicate_archives(spark: SparkSession, source: str, target: str, least_bytes: int = 100, max_records: int = 2000) -> None:
+    """Read archives, resolve revisits, write archives with a fresh record for each response and revisit.
+
+    Revisits of the source meet their originals by payload digest, headers only; one without an original
+    is an error. Those of payloads that are too short for revisits get the payload and become responses.
+    """
+    id_ = F.coalesce(F.col("page_id"), F.lit(NO_ID)).alias("id")
+    heads = read_archives(spark, source, payloads=False).where("record_type in ('response', 'revisit')")
+    heads = materialize(heads.select(id_, "url", F.col("payload_bytes").alias("bytes"), F.col("payload_digest").alias("digest"), "record_type"), "heads")
+    originals = materialize(heads.where("record_type = 'response'").groupBy("digest").agg(F.min("id").alias("first"), F.max("bytes").alias("bytes")), "originals")
+    revisits = heads.where("record_type = 'revisit'").select("id", "url", "digest").join(originals.hint("merge"), "digest", "left")
+    revisits = materialize(revisits, "source-revisits")
+    if lost := revisits.where("first is null").count():
+        raise ValueError(f"{lost} revisits have no original response in {source}")
+
+    responses = read_archives(spark, source).where("record_type = 'response'")
+    pages = responses.select("page_id", "url", F.col("payload").cast("string").alias("html"))
+    columns = ["id", "url", "html", "bytes", "digest", "refers_to"]
+    kept = revisits.where(F.col("bytes") >= least_bytes).withColumns({"html": F.lit(""), "refers_to": F.col("first")}).select(columns)
+    short = responses.where(F.octet_length("payload") < least_bytes).select(F.col("payload_digest").alias("digest"), F.col("payload").cast("string").alias("html"))
+    wanted = revisits.where(F.col("bytes") < least_bytes)
+    short = materialize(short.join(wanted.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"]), "short-payloads")
+    filled = wanted.join(short.hint("merge"), "digest").withColumn("refers_to", F.lit(None).cast("long")).select(columns)
+    _write(resolve(pages, least_bytes).select(columns).unionByName(kept).unionByName(filled), target, max_records, None)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 100) -> DataFrame:

@@ -255,3 +255,22 @@ def test_pipeline(spark, labelled, documents, texts, tmp_path):
     assert {r["doc_id"] for r in out[4]} == set(texts_of(out[3]))
     ran = rows(corpus_pipeline.run(spark, str(tmp_path)))
     assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in ran) == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in out[4])
+
+
+def test_archives_with_revisits_are_deduplicated(spark, tmp_path):
+    data = [(i, f"u{i}", "z" * 200 if i % 2 else f"{i}" * 150 if i % 4 else "short") for i in range(40)] + [(None, "v", "z" * 200)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    a, b, c, d = (f"file://{tmp_path}/{x}" for x in "abcd")
+    held = lambda path: sorted(tuple(x or 0 for x in r.values()) for r in rows(warc.read_archives(spark, path)))
+    warc.write_archives(pages, a, least_bytes=1)
+    assert warc.read_archives(spark, a).where("record_type = 'revisit'").count() == 29
+    warc.deduplicate_archives(spark, a, b, least_bytes=1)
+    assert held(b) == held(a)
+    # revisits of payloads that are too short now become responses
+    warc.deduplicate_archives(spark, a, c, least_bytes=100)
+    warc.write_archives(pages, f"file://{tmp_path}/e", least_bytes=100)
+    assert held(c) == held(f"file://{tmp_path}/e")
+    lost = warc.resolve(pages).where("id = 3").withColumn("refers_to", F.lit(1))
+    warc._write(lost, d, 10, None)
+    with pytest.raises(ValueError, match="1 revisits have no original"):
+        warc.deduplicate_archives(spark, d, f"file://{tmp_path}/f")
