@@ -5,7 +5,7 @@ show, and a renderer lays out the rest: blank lines around paragraphs and headin
 blocks, marks and indents for lists, aligned columns for tables, text as it stands in pre.
 
 Defined results: null or blank html gives an empty text; unclosed and unmatched tags are repaired;
-nesting deeper than DEEPEST is flattened; repeated rows are rendered each; an empty table gives no
+nesting may have any depth; repeated rows are rendered each; an empty table gives no
 rows; other columns are ignored. All visible text is emitted, in document order except that the cells
 of a table row stand side by side.
 """
@@ -13,15 +13,16 @@ of a table row stand side by side.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Generator, Iterator
 from html.parser import HTMLParser
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEEPEST = 120
-
 # Element classes of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol optgroup option p pre search section summary table ul".split())
@@ -57,39 +58,44 @@ class Node:
 
 
 class Builder(HTMLParser):
-    """Builds the tree; self.open is the path from the root to the open element."""
+    """Builds the tree; self.open is the path from the root to the open element, self.at the places of each tag on it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("html")
         self.open = [self.root]
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
+
+    def _cut(self, place: int) -> None:
+        for node in self.open[place:]:
+            self.at[node.tag].pop()
+        del self.open[place:]
+
+    def _nearest(self, tags: set[str]) -> int:
+        """The place of the innermost open element of the tags; 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
 
     def _close(self, tags: set[str], until: set[str]) -> None:
         """Close the outermost open element of the tags that lies within the nearest of `until`."""
-        place = None
-        for i in range(len(self.open) - 1, 0, -1):
-            tag = self.open[i].tag
-            if tag in until:
-                break
-            if tag in tags:
-                place = i
-        if place:
-            del self.open[place:]
+        low = self._nearest(until)
+        places = (p[i] for t in tags if (p := self.at.get(t)) and (i := bisect_right(p, low)) < len(p))
+        if place := min(places, default=0):
+            self._cut(place)
 
     def _push(self, node: Node) -> None:
         self.open[-1].children.append(node)
-        if len(self.open) < DEEPEST:
-            self.open.append(node)
+        self.at[node.tag].append(len(self.open))
+        self.open.append(node)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in ("html", "body") and (tag == "html" or any(n.tag == "body" for n in self.open)):
+        if tag in ("html", "body") and (tag == "html" or self.at.get("body")):
             return
         if self.open[-1].tag == "head" and tag not in HEADERS and tag != "head":
-            self.open.pop()
+            self._cut(-1)
         if tag in ENDS_P:
             self._close({"p"}, {"td", "th", "table", "button", "caption", "object"})
         if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", self.open[-1].tag):
-            self.open.pop()
+            self._cut(-1)
         if tag in CLOSES:
             self._close(*CLOSES[tag])
         if tag in CELLS and self.open[-1].tag in GROUPS | {"table"}:
@@ -110,18 +116,16 @@ class Builder(HTMLParser):
             self.handle_starttag("br", [])
             return
         stop = set() if tag in {"html", "body", "table"} else CELLS | {"table"} if tag not in CELLS | ROWS | GROUPS | {"caption"} else {"table"}
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if self.open[i].tag in stop:
-                break
+        place = self._nearest({tag})
+        if place and place >= self._nearest(stop):
+            self._cut(place)
+            return
         if tag == "p":
             self.open[-1].children.append(Node("p"))
 
     def handle_data(self, data: str) -> None:
         if self.open[-1].tag == "head" and data.strip():
-            self.open.pop()
+            self._cut(-1)
         self.open[-1].children.append(data)
 
 
@@ -132,6 +136,23 @@ def parse(html: str) -> Node:
     return builder.root
 
 
+#: A step of the layout: it yields the steps that it needs and gets their results.
+Step = Generator["Step", Any, Any]
+
+
+def _done(step: Step) -> Any:
+    """The result of a step; those that wait for others are held on a stack of our own, so that nesting has no limit."""
+    stack, value = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
+
+
 STYLE = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)", re.I)
 
 
@@ -202,62 +223,62 @@ def _mark(kind: str, n: int) -> str:
     return f"{n}."
 
 
-def _list(node: Node, visible: bool) -> list[str]:
+def _list(node: Node, visible: bool) -> Step:
     out, items = Lines(), [c for c in node.children if isinstance(c, Node) and c.tag == "li"]
     backward = "reversed" in node.attrs
     number = _whole(node.attrs.get("start"), len(items) if backward else 1)
     for child in node.children:
         if not isinstance(child, Node) or child.tag != "li":
-            _flow(child, visible, out)
+            yield from _laid(child, visible, out)
             continue
         number = _whole(child.attrs.get("value"), number)
         mark = _mark(node.attrs.get("type") or "1", number) if node.tag == "ol" else "-"
         number += -1 if backward else 1
         box, seen = _shown(child, visible)
         if box:
-            lines = _lines(child.children, seen)
+            lines = yield _lines(child.children, seen)
             if lines:
                 out.block([f"{mark} {lines[0]}", *((" " * (len(mark) + 1) + line if line else "") for line in lines[1:])])
     out.end_line()
     return out.lines
 
 
-def _cells(node: Node, visible: bool) -> tuple[list[list[tuple[list[str], int, int]]], list[str], list[str]]:
+def _cells(node: Node, visible: bool) -> Step:
     """Rows of cells (lines, columns, rows), the captions, and text that stands outside of cells."""
     rows, captions, loose = {"thead": [], "tbody": [], "tfoot": []}, [], Lines()
 
-    def group(node: Node, visible: bool, kind: str) -> None:
+    def group(node: Node, visible: bool, kind: str) -> Step:
         for child in node.children:
             if not isinstance(child, Node):
-                _flow(child, visible, loose)
+                yield from _laid(child, visible, loose)
                 continue
             box, seen = _shown(child, visible)
             if not box:
                 continue
             if child.tag == "caption":
-                captions.extend(_lines(child.children, seen))
+                captions.extend((yield _lines(child.children, seen)))
             elif child.tag in GROUPS:
-                group(child, seen, child.tag)
+                yield group(child, seen, child.tag)
             elif child.tag == "tr":
                 row = []
                 for cell in child.children:
                     if isinstance(cell, Node) and cell.tag in CELLS:
                         shown, own = _shown(cell, seen)
                         if shown:
-                            row.append((_lines(cell.children, own), min(max(_whole(cell.attrs.get("colspan"), 1), 1), 1000), min(max(_whole(cell.attrs.get("rowspan"), 1), 1), 1000)))
+                            row.append(((yield _lines(cell.children, own)), min(max(_whole(cell.attrs.get("colspan"), 1), 1), 1000), min(max(_whole(cell.attrs.get("rowspan"), 1), 1), 1000)))
                     else:
-                        _flow(cell, seen, loose)
+                        yield from _laid(cell, seen, loose)
                 rows[kind].append(row)
             elif child.tag != "colgroup":
-                _flow(child, seen, loose)
+                yield from _laid(child, seen, loose)
 
-    group(node, visible, "tbody")
+    yield group(node, visible, "tbody")
     loose.end_line()
     return rows["thead"] + rows["tbody"] + rows["tfoot"], captions, loose.lines
 
 
-def _table(node: Node, visible: bool) -> list[str]:
-    rows, out, loose = _cells(node, visible)
+def _table(node: Node, visible: bool) -> Step:
+    rows, out, loose = yield _cells(node, visible)
     out = loose + out
     placed, taken, widths = [], {}, {}
     for cells in rows:
@@ -289,7 +310,7 @@ def _table(node: Node, visible: bool) -> list[str]:
     return out
 
 
-def _pre(node: Node, visible: bool) -> str:
+def _pre(node: Node, visible: bool) -> Step:
     out = []
     for child in node.children:
         if isinstance(child, str):
@@ -297,16 +318,19 @@ def _pre(node: Node, visible: bool) -> str:
         else:
             box, seen = _shown(child, visible)
             if box:
-                out.append("\n" if child.tag == "br" else _pre(child, seen))
+                out.append("\n" if child.tag == "br" else (yield _pre(child, seen)))
     return "".join(out)
 
 
-def _flow(child: Node | str, visible: bool, out: Lines) -> None:
-    """Lay out one child of a block."""
-    if isinstance(child, str):
-        if visible:
-            out.text(child)
-        return
+def _laid(child: Node | str, visible: bool, out: Lines) -> Step:
+    """Lay out one child of a block; texts need no step of their own."""
+    if not isinstance(child, str):
+        yield _flow(child, visible, out)
+    elif visible:
+        out.text(child)
+
+
+def _flow(child: Node, visible: bool, out: Lines) -> Step:
     box, seen = _shown(child, visible)
     if not box:
         return
@@ -322,44 +346,44 @@ def _flow(child: Node | str, visible: bool, out: Lines) -> None:
         if seen and (child.attrs.get("type") or "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel", "number"):
             out.text(" " + (child.attrs.get("value") or "") + " ")
     elif tag in ("pre", "listing", "xmp", "plaintext", "textarea"):
-        text = _pre(child, seen)
+        text = yield _pre(child, seen)
         lines = [line.rstrip() for line in text.expandtabs().removeprefix("\n").split("\n")]
         while lines and not lines[-1]:
             lines.pop()
         out.block(lines, 1)
     elif tag in ("ul", "ol", "menu", "dir"):
-        out.block(_list(child, seen), 1)
+        out.block((yield _list(child, seen)), 1)
     elif tag == "table":
-        out.block(_table(child, seen), 1)
+        out.block((yield _table(child, seen)), 1)
     elif tag == "details" and "open" not in child.attrs:
         out.end_line()
         for c in child.children:
             if isinstance(c, Node) and c.tag == "summary":
-                _flow(c, seen, out)
+                yield _flow(c, seen, out)
     elif tag in ("dd", "blockquote"):
-        out.block(["  " + line if line else "" for line in _lines(child.children, seen)], int(tag in SPACED))
+        out.block(["  " + line if line else "" for line in (yield _lines(child.children, seen))], int(tag in SPACED))
     elif tag in BLOCK or tag in CELLS | ROWS | GROUPS:
         gap = int(tag in SPACED)
         out.end_line(gap)
         for c in child.children:
-            _flow(c, seen, out)
+            yield from _laid(c, seen, out)
         out.end_line(gap)
     else:
         for c in child.children:
-            _flow(c, seen, out)
+            yield from _laid(c, seen, out)
 
 
-def _lines(children: list[Node | str], visible: bool) -> list[str]:
+def _lines(children: list[Node | str], visible: bool) -> Step:
     out = Lines()
     for child in children:
-        _flow(child, visible, out)
+        yield from _laid(child, visible, out)
     out.end_line()
     return out.lines
 
 
 def render(html: str | None) -> str:
     """The visible text of a page."""
-    return "\n".join(_lines(parse(html).children, True)) if html else ""
+    return "\n".join(_done(_lines(parse(html).children, True))) if html else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -99,6 +99,19 @@ def test_layout(html, text):
     assert html_text.render(html) == text
 
 
+@pytest.mark.parametrize("tag", ["div", "b"])
+@pytest.mark.parametrize(("html", "text"), [p for p in PAGES if p[0] and "</td>" not in p[0] and "<head>" not in p[0]])
+def test_layout_at_depth(tag, html, text):
+    assert html_text.render(f"<{tag}>" * 2000 + html) == text
+
+
+def test_deep_pages():
+    hidden = "<script>var a</script><style>b{}</style><i hidden>c</i>"
+    assert html_text.render("<b>" * 5000 + hidden + "<table><tr><td>x<td>y</table>" + "</b>" * 5000 + "z") == "x  y\n\nz"
+    assert html_text.render("<span hidden>" + "<div>" * 300 + "<div>no</div></div>no</span>" + "<p>yes") == "yes"
+    assert html_text.render("<ul><li>" * 500 + "x").endswith("- x") and html_text.render("<pre>" + "<b>" * 5000 + "a\n  b") == "a\n  b"
+
+
 def test_pages_table(spark):
     data = [(i, "u", h) for i, (h, _) in enumerate(PAGES)]
     df = spark.createDataFrame([*data, data[0]], "page_id long, url string, html string").withColumn("text", F.lit(1))
