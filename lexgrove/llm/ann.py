@@ -29,7 +29,13 @@ STARTS = 32
 NODE = "struct<a:long,b:int>"
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest value to 0.5 to 1: exact, and squares stay in range."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = scaled(vectors)
     return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -123,15 +129,15 @@ def build_graph(points: np.ndarray, degree: int = 32, beam: int = 64, alpha: flo
 
 def cosines(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Row by row, in double precision."""
-    q, v = queries.astype(np.float64), vectors.astype(np.float64)
+    q, v = scaled(queries.astype(np.float64)), scaled(vectors.astype(np.float64))
     return np.clip((q * v).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1))), -1.0, 1.0)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """id and vector (floats) of rows that can take part."""
+    """id and vector (doubles, as given) of rows that can take part."""
     vector = F.col("embedding").cast("array<double>")
     fit = vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("vector"), fit.alias("fit")).where("fit and id is not null").drop("fit")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), vector.alias("vector"), fit.alias("fit")).where("fit and id is not null").drop("fit")
     length = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.where(F.size("vector") == (length["n"] if length else 0))
 
@@ -159,7 +165,7 @@ def search(vectors: DataFrame, wanted: Column, k: int = 5, degree: int = 32, bea
         edges = pa.array(list(graph), pa.list_(pa.int32()))
         yield pa.record_batch([table["shard"].chunk(0), table["node"].chunk(0), table["vector"].chunk(0), pa.array(np.arange(len(graph), dtype=np.int32)), edges, pa.array(np.isin(np.arange(len(graph)), start))], names=["shard", "node", "vector", "at", "edges", "start"])
 
-    index = materialize(sharded.select("shard", "node", "vector").groupBy("shard").applyInArrow(build, f"shard int, node {NODE}, vector array<float>, at int, edges array<int>, start boolean"), "graphs")
+    index = materialize(sharded.select("shard", "node", "vector").groupBy("shard").applyInArrow(build, f"shard int, node {NODE}, vector array<double>, at int, edges array<int>, start boolean"), "graphs")
 
     asked = rows.where(wanted).select("id", F.struct(*node).alias("node"), "vector").distinct()
     asked = materialize(asked, "queries")

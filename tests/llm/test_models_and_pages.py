@@ -158,6 +158,15 @@ def test_few_vectors(spark):
     assert [(r["id"], r["rank"]) for r in sorted(rows(ann.search(three, F.col("id") == 0)), key=lambda r: r["rank"])] == [(1, 1), (2, 2)]
 
 
+def test_vectors_of_doubles(spark):
+    data = [[1.0, 0.0], [1.0, 1e-9], [1e300, 1e300], [1e-300, -1e-300], [0.1, 0.7]]
+    df = spark.createDataFrame(list(enumerate(data)), "vec_id long, embedding array<double>")
+    got = {r["id"]: r["score"] for r in rows(ann.search(df, F.col("id") == 4))}
+    norm = (0.1**2 + 0.7**2) ** 0.5
+    true = {0: 0.1 / norm, 1: (0.1 + 0.7e-9) / norm, 2: 0.8 / norm / 2**0.5, 3: -0.6 / norm / 2**0.5}
+    assert set(got) == set(true) and all(abs(got[i] - true[i]) < 1e-15 for i in true)
+
+
 # archives
 
 
