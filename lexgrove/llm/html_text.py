@@ -7,12 +7,15 @@ blocks, marks and indents for lists, aligned columns for tables, text as it stan
 Defined results: null or blank html gives an empty text; unclosed and unmatched tags are repaired;
 nesting may have any depth; repeated rows are rendered each; an empty table gives no
 rows; other columns are ignored. All visible text is emitted, in document order except that the cells
-of a table row stand side by side.
+of a table row stand side by side. Columns are aligned by the width that a terminal gives their characters. Cells with a
+line of more than 200 places stand on lines of their own, columns that would start after place 1000 follow
+two spaces after the one before: so padding never grows with the product of rows and widths.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Generator, Iterator
@@ -136,6 +139,9 @@ def parse(html: str) -> Node:
     return builder.root
 
 
+#: Widest cell that a column is aligned to, and the last place of a line that a column can start at.
+WIDEST, FARTHEST = 200, 1_000
+
 #: A step of the layout: it yields the steps that it needs and gets their results.
 Step = Generator["Step", Any, Any]
 
@@ -277,6 +283,27 @@ def _cells(node: Node, visible: bool) -> Step:
     return rows["thead"] + rows["tbody"] + rows["tfoot"], captions, loose.lines
 
 
+def _width(text: str) -> int:
+    """Places that the text takes in a line: wide characters take two, combining ones none."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
+def _side_by_side(cells: list[tuple[int, list[str]]], starts: dict[int, int]) -> list[str]:
+    out = []
+    for i in range(max((len(lines) for _, lines in cells), default=0)):
+        parts, at = [], 0
+        for column, lines in cells:
+            part = lines[i] if i < len(lines) else ""
+            if part:
+                gap = max(starts[column] - at, 2 if at else 0)
+                parts += (" " * gap, part)
+                at += gap + _width(part)
+        out.append("".join(parts).rstrip())
+    return out
+
+
 def _table(node: Node, visible: bool) -> Step:
     rows, out, loose = yield _cells(node, visible)
     out = loose + out
@@ -286,9 +313,10 @@ def _table(node: Node, visible: bool) -> Step:
         for lines, across, down in cells:
             while taken.get(column, 0) > 0:
                 column += 1
-            line.append((column, lines))
-            if across == 1:
-                widths[column] = max(widths.get(column, 0), max(map(len, lines), default=0))
+            width = max(map(_width, lines), default=0)
+            line.append((column, lines, width > WIDEST))
+            if across == 1 and width <= WIDEST:
+                widths[column] = max(widths.get(column, 0), width)
             for c in range(column, column + across):
                 widths.setdefault(c, 0)
                 taken[c] = max(taken.get(c, 0), down)
@@ -297,16 +325,17 @@ def _table(node: Node, visible: bool) -> Step:
         taken = {c: n - 1 for c, n in taken.items() if n > 1}
     at, starts = 0, {}
     for c in sorted(widths):
-        starts[c] = at
+        starts[c] = at if at <= FARTHEST else 0
         at += widths[c] + 2 if widths[c] else 0
     for line in placed:
-        for i in range(max((len(lines) for _, lines in line), default=0)):
-            text = ""
-            for column, lines in line:
-                part = lines[i] if i < len(lines) else ""
-                if part:
-                    text = text.ljust(starts[column]) + ("  " if text.strip() and len(text) > starts[column] else "") + part
-            out.append(text.rstrip())
+        together: list[tuple[int, list[str]]] = []
+        for column, lines, wide in line:
+            if wide:
+                out += _side_by_side(together, starts) + lines
+                together = []
+            else:
+                together.append((column, lines))
+        out += _side_by_side(together, starts)
     return out
 
 
