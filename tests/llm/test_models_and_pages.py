@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -112,6 +113,45 @@ def test_deep_pages():
     assert html_text.render("<ul><li>" * 500 + "x").endswith("- x") and html_text.render("<pre>" + "<b>" * 5000 + "a\n  b") == "a\n  b"
 
 
+def test_wide_tables():
+    table = "<table>" + "<tr><td>a<td>b" * 500 + "<tr><td>" + "long " * 20_000 + "<td>c<td>d</table>"
+    text = html_text.render(table)
+    assert len(text) < 2 * len(table) and text.startswith("a  b\na  b\n") and text.endswith("long\n   c  d")
+    far = "<table><tr>" + "".join(f"<td>column{i}" for i in range(300)) + ("<tr><td colspan=299>" + "<td>x") * 500 + "</table>"
+    assert len(html_text.render(far)) < 100 * len(far) and html_text.render(far).count("x") == 500
+    assert html_text.render("<table><tr><td>\u65e5\u672c<td>x<tr><td>abcd<td>y<tr><td>e\u0301<td>z</table>") == "\u65e5\u672c  x\nabcd  y\ne\u0301     z"
+
+
+VISIBLE = ("p", "div", "b", "span", "li", "td", "h2", "section", "em")
+GONE = ("<script>{}</script>", "<style>{}</style>", "<span hidden>{}</span>", "<div style='display: none'><p>{}</p></div>", "<template>{}</template>", "<!-- {} -->", "<i style='visibility:hidden'>{}</i>", "<noscript>{}</noscript>")
+
+
+def test_visible_words_of_random_pages():
+    """Against the construction of the page: shown words all come out, once and in order; hidden ones never."""
+    rng = random.Random(12)
+    for _ in range(150):
+        shown, parts, stack, n = [], [], [], 0
+        for _ in range(rng.randrange(1, 120)):
+            kind = rng.random()
+            if kind < 0.3 and len(stack) < 60:
+                tag = rng.choice([t for t in VISIBLE if t not in ("td", "li")])
+                stack.append(tag)
+                parts.append(f"<{tag} class='x'>")
+            elif kind < 0.5 and stack:
+                parts.append(f"</{stack.pop()}>" if rng.random() < 0.8 else "")
+            elif kind < 0.65:
+                parts.append(rng.choice(GONE).format(f"hidden{n}"))
+            elif kind < 0.72:
+                shown += [f"w{n}", f"v{n}", f"u{n}"]
+                parts.append(rng.choice([f"<table><tr><td>w{n}<td>v{n}<tr><td>u{n}</table>", f"<ul><li>w{n}<li>v{n}<ul><li>u{n}</ul></ul>", f"<pre>w{n}\nv{n}  u{n}</pre>"]))
+            else:
+                shown.append(f"w{n}")
+                parts.append(f" w{n} ")
+            n += 1
+        words = re.findall(r"[a-z]+[0-9]+", html_text.render("".join(parts)))
+        assert words == shown
+
+
 def test_pages_table(spark):
     data = [(i, "u", h) for i, (h, _) in enumerate(PAGES)]
     df = spark.createDataFrame([*data, data[0]], "page_id long, url string, html string").withColumn("text", F.lit(1))
@@ -293,6 +333,23 @@ def test_archives_with_revisits_are_deduplicated(spark, tmp_path):
     warc.write_archives(pages, f"file://{tmp_path}/e", least_bytes=100)
     assert held(c) == held(f"file://{tmp_path}/e")
     lost = warc.resolve(pages).where("id = 3").withColumn("refers_to", F.lit(1))
-    warc._write(lost, d, 10, None)
+    warc._write(lost, d, 10**6, 10**6, None)
     with pytest.raises(ValueError, match="1 revisits have no original"):
         warc.deduplicate_archives(spark, d, f"file://{tmp_path}/f")
+
+
+def test_archives_are_bounded_and_ids_are_new(spark, tmp_path):
+    pages = spark.createDataFrame([(i % 400, "u", f"{i % 400}:" + "y" * (30_000 if i == 7 else 900 if i % 5 == 0 else 30)) for i in range(800)], "page_id long, url string, html string").coalesce(2)
+    a, b = f"{tmp_path}/a", f"{tmp_path}/b"
+    warc.write_archives(pages, f"file://{a}", max_bytes=20_000)
+    warc.deduplicate_archives(spark, f"file://{a}", f"file://{b}", max_bytes=20_000)
+    seen = set()
+    for folder in (a, b):
+        found = [list(warc.parse(p.read_bytes())) for p in __import__("pathlib").Path(folder).glob("part-*")]
+        assert sum(map(len, found)) == 800
+        assert all(len(f) == 1 or sum(len(payload) for *_, payload in f) <= 20_000 + 40 for f in found)
+        ids = [head["warc-record-id"] for f in found for head, *_ in f]
+        assert len(set(ids)) == 800 and not seen & set(ids)  # also of pages with one page_id
+        seen |= set(ids)
+    held = lambda path: sorted(tuple(x or 0 for x in r.values()) for r in rows(warc.read_archives(spark, f"file://{path}")))
+    assert held(a) == held(b)
