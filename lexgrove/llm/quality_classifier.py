@@ -2,11 +2,11 @@
 
 Texts become indicators of hashed byte n-grams (1 to 4 bytes) and of runs of repeated words, scaled by the classes' log-count
 ratios and brought to length 1. A linear hinge-loss model is fitted by dual coordinate descent to at
-most `max_rows` labelled rows, the ones with the smallest hashes of doc_id, which bounds what the
-driver holds; a logistic curve through margins of rows left out of the fit turns margins to scores.
+most `max_rows` labelled rows, the ones with the smallest hashes of doc_id, and at most `max_bytes` of
+their n-grams, which bounds what the driver holds; a logistic curve through margins of rows left out of the fit turns margins to scores.
 
 Defined results: a null text is an empty one, whose score follows from the intercept alone; labels
-with a null doc_id or label are left out, of repeated labels the smallest counts; with labels of one
+with a null doc_id or label are left out, of repeated labels the smallest counts, of texts with one labelled doc_id the one whose n-grams are least in bytes; with labels of one
 class only every score is that class, without labels 0.5; repeated rows are scored each; an empty
 table gives no rows.
 """
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import WordHashes
+from .scratch import materialize
 
 BITS = 18
 LENGTHS = (1, 2, 3, 4)
@@ -144,8 +145,8 @@ def _logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(max(theta[0], 0.0)), float(theta[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 4000) -> Model:
-    """Fit to at most max_rows labelled rows that aren't held out."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 4000, max_bytes: int = 256 << 20) -> Model:
+    """Fit to at most max_rows labelled rows that aren't held out, and to no more of them than max_bytes of n-grams; of rows with one doc_id, one."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
@@ -156,8 +157,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "y", "found"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    rows = texts.join(F.broadcast(known), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, found binary").toArrow()  # known has max_rows rows at most
-    texts_of = sorted(zip(rows["doc_id"].to_pylist(), rows["found"].to_pylist(), rows["y"].to_pylist(), strict=True))
+    found = texts.join(F.broadcast(known), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, found binary")  # known has max_rows rows at most
+    rows = materialize(found.groupBy("doc_id", "y").agg(F.min("found").alias("found")), "labelled")
+    sizes = sorted((r["h"], r["doc_id"], r["n"]) for r in rows.select("doc_id", F.xxhash64("doc_id").alias("h"), F.octet_length("found").alias("n")).collect())  # max_rows rows at most
+    fits = np.cumsum([n for *_, n in sizes]) <= max_bytes
+    use = [i for (_, i, _), ok in zip(sizes, fits, strict=True) if ok]
+    own = rows.where(F.col("doc_id").isin(use)).toArrow() if len(use) < len(sizes) else rows.toArrow()
+    texts_of = sorted(zip(own["doc_id"].to_pylist(), own["found"].to_pylist(), own["y"].to_pylist(), strict=True))
     return fit([np.frombuffer(found, np.uint32) for _, found, _ in texts_of], np.array([y for *_, y in texts_of], np.int64))
 
 
