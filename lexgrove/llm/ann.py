@@ -1,15 +1,15 @@
 """Approximate nearest neighbours: a robust-pruned directed graph in each shard.
 
-Equal vectors are one node. Nodes go to shards of bounded size by hash; each shard builds its graph
+Vectors of equal direction are one node. Nodes go to shards of bounded size by hash; each shard builds its graph
 by itself: greedy searches from the medoid and a few other nodes propose neighbours for a batch of nodes, relaxed distance
-pruning keeps diverse ones, and reverse edges are pruned the same way. The graphs are stored. Blocks
-of queries then meet every shard, a beam search visits each graph, and the best of all shards remain.
+pruning keeps diverse ones, and reverse edges are pruned the same way. The graphs are stored. Queries
+are then streamed past every shard's graph, a beam search visits each, and the best of all shards remain.
 Cosines are computed in double precision on the original vectors.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part; a query with no candidate has no rows; rows with a null id take no part;
 repeated rows (equal id and vector) are one; of rows with equal id and other vectors all are
-candidates and each is a query; equal scores rank by smaller id; an empty table gives no rows.
+candidates and each is a query; equal scores (to 12 digits) rank by smaller id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .scratch import materialize
 
-#: Nodes that a shard has at most, about; queries in a block; nodes inserted together.
-SHARD_NODES, BLOCK_QUERIES, BATCH = 6_000, 2_000, 256
+#: Nodes that a shard has at most, about; nodes inserted, or queries advanced, together.
+SHARD_NODES, BATCH = 6_000, 256
 STARTS = 32
 NODE = "struct<a:long,b:int>"
 
@@ -133,6 +133,28 @@ def cosines(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.clip((q * v).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1))), -1.0, 1.0)
 
 
+def cosine(a: Column | str, b: Column | str) -> Column:
+    """The same in SQL functions, summed from the first component to the last; each vector is first scaled by a power of two, which is exact."""
+
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+
+    def near_one(v: Column | str) -> Column:
+        power = F.floor(F.log2(F.array_max(F.transform(v, F.abs))))
+        half = F.floor(power / 2)
+        factors = F.struct(F.pow(F.lit(2.0), -half).alias("p"), F.pow(F.lit(2.0), half - power).alias("q"))
+        return bound(factors, lambda f: F.transform(v, lambda x: x * f["p"] * f["q"]))
+
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda total, p: total + p)
+    both = lambda s: dot(s["a"], s["b"]) / (F.sqrt(dot(s["a"], s["a"])) * F.sqrt(dot(s["b"], s["b"])))
+    value = bound(F.struct(near_one(a).alias("a"), near_one(b).alias("b")), both)
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))
+
+
+def closeness(score: Column) -> Column:
+    """What ranks go by: cosines that differ in the last digits only, by the order of additions, are ties."""
+    return F.floor(score * 1e12 + 0.5)
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """id and vector (doubles, as given) of rows that can take part."""
     vector = F.col("embedding").cast("array<double>")
@@ -147,60 +169,99 @@ def _stacked(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _direction(vector: str) -> Column:
+    """96 bits for the direction: the unit vector's components in steps of 2^-40. Parallel vectors have one direction, but for rare ones that meet a step's edge."""
+    v, bound = F.col(vector), lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # value is computed once for all uses in f
+    greatest = F.array_max(F.transform(v, F.abs))
+    norm = lambda n: F.sqrt(F.aggregate(n, F.lit(0.0), lambda total, x: total + x * x))
+    near = bound(greatest, lambda g: F.transform(v, lambda x: x / g))
+    sized = bound(near, lambda n: F.struct(n.alias("v"), norm(n).alias("n")))
+    steps = bound(sized, lambda s: F.transform(s["v"], lambda x: F.floor(x / s["n"] * float(1 << 40) + 0.5)))
+    return bound(steps, lambda x: F.struct(F.xxhash64(x).alias("a"), F.hash(x).alias("b")))
+
+
+INDEX = f"shard int, node {NODE}, first long, vector array<double>, at int, edges array<int>, start boolean"
+HITS = f"query {NODE}, node {NODE}, first long, near double"
+
+
+class _Shard:
+    """The graph of one shard, ready for queries."""
+
+    def __init__(self, table: pa.Table):
+        table = table.combine_chunks()
+        own = {c: table[c].chunk(0) for c in ("node", "first", "vector", "edges", "start")}
+        self.node, self.first = own["node"], own["first"]
+        self.vectors, self.graph = _stacked(own["vector"]), _stacked(own["edges"])
+        self.points, self.start = unit(self.vectors), np.flatnonzero(own["start"].to_numpy(zero_copy_only=False))
+
+    def visited(self, asked: pa.RecordBatch, k: int, beam: int) -> Iterator[pa.RecordBatch]:
+        """The 2k + 2 nearest nodes of each query's beam, equal ones by their smallest id."""
+        questions, first = _stacked(asked.column("vector")), self.first.to_numpy()
+        for low in range(0, len(questions), BATCH):
+            part = questions[low : low + BATCH]
+            ids, _ = beam_search(self.points, self.graph, unit(part), self.start, max(2 * beam, 2 * k + 2))
+            q, column = np.nonzero(ids >= 0)
+            v = ids[q, column]
+            near = cosines(part[q], self.vectors[v])
+            order = np.lexsort((first[v], -np.floor(near * 1e12 + 0.5), q))
+            place = np.arange(len(order)) - np.searchsorted(q[order], q[order])
+            order = order[place < 2 * k + 2]
+            q, v = pa.array(q[order] + low), pa.array(v[order])
+            yield pa.record_batch([asked.column("node").take(q), self.node.take(v), self.first.take(v), pa.array(near[order])], names=["query", "node", "first", "near"])
+
+
 def search(vectors: DataFrame, wanted: Column, k: int = 5, degree: int = 32, beam: int = 64) -> DataFrame:
     """query_id, rank, id, score: the k nearest rows found for each row that is wanted (a condition on id)."""
-    rows = materialize(usable(vectors).distinct(), "vectors")
-    node = F.xxhash64("vector").alias("a"), F.hash("vector").alias("b")  # 96 bits for the vector
-    # of each vector the k + 1 smallest ids are all that any query can need
-    members = rows.select(F.struct(*node).alias("node"), "id", "vector").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where(F.col("place") <= k + 1)
+    rows = materialize(usable(vectors).distinct().withColumn("node", _direction("vector")), "vectors")
+    # of each direction the k + 1 smallest ids are all that any query can need
+    members = rows.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where(F.col("place") <= k + 1)
     members = materialize(members, "members")
-    nodes = members.where("place = 1").select("node", "vector")
+    nodes = members.where("place = 1").select("node", F.col("id").alias("first"), "vector")
     total = nodes.count()
     shards = max(1, -(-total // SHARD_NODES))
     sharded = nodes.withColumn("shard", F.pmod(F.hash("node"), F.lit(shards)))
 
     def build(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).combine_chunks()
-        graph, start = build_graph(unit(_stacked(table["vector"].chunk(0)).astype(np.float64)), degree, beam)
+        own = {c: table[c].chunk(0) for c in table.column_names}
+        graph, start = build_graph(unit(_stacked(own["vector"])), degree, beam)
         edges = pa.array(list(graph), pa.list_(pa.int32()))
-        yield pa.record_batch([table["shard"].chunk(0), table["node"].chunk(0), table["vector"].chunk(0), pa.array(np.arange(len(graph), dtype=np.int32)), edges, pa.array(np.isin(np.arange(len(graph)), start))], names=["shard", "node", "vector", "at", "edges", "start"])
+        at = np.arange(len(graph), dtype=np.int32)
+        yield pa.record_batch([own["shard"], own["node"], own["first"], own["vector"], pa.array(at), edges, pa.array(np.isin(at, start))], names=[f.split()[0] for f in INDEX.split(", ")])
 
-    index = materialize(sharded.select("shard", "node", "vector").groupBy("shard").applyInArrow(build, f"shard int, node {NODE}, vector array<double>, at int, edges array<int>, start boolean"), "graphs")
+    # a given number of partitions isn't coalesced, and twice the shards leave few of them two
+    spread = sharded.select("shard", "node", "first", "vector").repartition(2 * shards, "shard")
+    index = materialize(spread.groupBy("shard").applyInArrow(build, INDEX), "graphs")
 
-    asked = rows.where(wanted).select("id", F.struct(*node).alias("node"), "vector").distinct()
-    asked = materialize(asked, "queries")
+    asked = materialize(rows.where(wanted).select("id", "node", "vector"), "queries")
     forms = asked.groupBy("node").agg(F.first("vector").alias("vector"))
-    blocks = max(1, -(-forms.count() // BLOCK_QUERIES))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    parts = forms.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
-    copies = index.withColumn("block", every(blocks))
-
-    def visit(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        asked, held = left.combine_chunks(), right.combine_chunks().sort_by("at")
-        names = ["query", "node", "score"]
-        if not asked.num_rows or not held.num_rows:
-            return pa.table([asked["node"].slice(0, 0), held["node"].slice(0, 0), pa.array([], pa.float64())], names=names)
-        held = held.combine_chunks()
-        vectors, questions = _stacked(held["vector"].chunk(0)), _stacked(asked["vector"].chunk(0))
-        graph, points = _stacked(held["edges"].chunk(0)), unit(vectors.astype(np.float64))
-        start = np.flatnonzero(held["start"].to_numpy())
-        who, which = [], []
-        for low in range(0, len(questions), BATCH):
-            ids, _ = beam_search(points, graph, unit(questions[low : low + BATCH].astype(np.float64)), start, max(2 * beam, 2 * k + 2))
-            ids = ids[:, : 2 * k + 2]
-            q, column = np.nonzero(ids >= 0)
-            who.append(q + low)
-            which.append(ids[q, column])
-        q, v = np.concatenate(who), np.concatenate(which)
-        score = cosines(questions[q], vectors[v])
-        return pa.table([asked["node"].take(pa.array(q)), held["node"].take(pa.array(v)), pa.array(score)], names=names)
-
-    hits = parts.select("shard", "block", "node", "vector").groupBy("shard", "block").cogroup(copies.groupBy("shard", "block")).applyInArrow(visit, f"query {NODE}, node {NODE}, score double")
-    best = hits.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "node"))).where(F.col("place") <= 2 * k + 2)
-    best = materialize(best.select("query", "node", "score"), "hits")
-    # nodes to rows: first for each form of query, then for each query, without itself
-    found = best.join(members.select("node", "id").hint("merge"), "node").withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("place") <= k + 1)
-    found = materialize(found.select(F.col("query").alias("node"), "id", "score"), "found")
-    own = asked.select("node", F.col("id").alias("query_id")).join(found.hint("merge"), "node").where("id != query_id")
-    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "node").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    visits = forms.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    none = lambda kind: F.lit(None).cast(kind)
+    visits = visits.select("shard", "node", none("long").alias("first"), "vector", none("int").alias("at"), none("array<int>").alias("edges"), none("boolean").alias("start"))
+    # each shard's graph first, by place, then the queries, streamed past it
+    streams = index.unionByName(visits).repartition(2 * shards, "shard").sortWithinPartitions("shard", F.asc_nulls_last("at"))
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, ready = None, [], None
+        for batch in batches:
+            of, at = batch.column("shard").to_numpy(), np.asarray(batch.column("at").is_valid())
+            cuts = np.flatnonzero((of[1:] != of[:-1]) | (at[1:] != at[:-1])) + 1
+            for low, high in zip([0, *cuts], [*cuts, len(of)], strict=True):
+                part = batch.slice(low, high - low)
+                if of[low] != shard:
+                    shard, held, ready = of[low], [], None
+                if at[low]:
+                    held.append(part)
+                    continue
+                ready = ready or _Shard(pa.Table.from_batches(held))
+                yield from ready.visited(part, k, beam)
+
+    hits = streams.mapInArrow(visit, HITS)
+    best = hits.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(closeness(F.col("near"))), "first"))).where(F.col("place") <= 2 * k + 2)
+    best = materialize(best.select("query", "node"), "hits")
+    # directions to rows, scored as given: for each query, without itself
+    found = best.join(members.select("node", "id", F.col("vector").alias("held")).hint("merge"), "node").select(F.col("query").alias("node"), "id", "held")
+    own = asked.select("node", F.col("id").alias("query_id"), "vector").join(found.hint("merge"), "node").where("id != query_id")
+    scored = own.select("query_id", "node", "vector", "id", cosine("vector", "held").alias("score"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", F.xxhash64("vector"), "node").orderBy(F.desc(closeness(F.col("score"))), "id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "id", "score")
