@@ -1,11 +1,13 @@
 """Quality rules with host verdicts, in DataFrame functions only.
 
-Each document is measured in its own row, the measures are stored once, failures are summed by host,
-the hosts' rates are shrunk with a beta prior fitted to all hosts by moments, and the verdicts are
-joined back to the stored measures. The join is a sort-merge join of two plain exchanges, so that
-adaptive execution can split the partition of a host that holds much of the corpus.
-
-Defined results: a null text has no words and fails; a null host has no verdict against it; repeated
+Each document is measured in its own row and the measures are stored once. Failures of each rule are summed by
+host. For each rule a beta prior is fitted to all hosts by moments: its mean is the rate of all documents, and the
+share of the variance that lies between hosts gives its weight. A host fails a rule if its rate, by the posterior, is above
+the rate of all documents by more than a margin: the lower end of a one-sided 95 % interval decides.
+The verdicts are joined back to the stored measures; documents of hosts that fail a rule go. The join is a sort-merge
+join of two plain exchanges, so that adaptive execution can split the partition of a host that holds much of the corpus.
+
+Defined results: a null text has no words and fails; a null host has no verdict against it and no part in the rates; repeated
 rows count each; an empty table gives no rows; a document without a newline is one line.
 """
 
@@ -88,30 +90,35 @@ def rules(min_words: int = 20, repeat_percent: int = 30, symbol_percent: int = 1
     }
 
 
-def host_rates(measured: DataFrame) -> DataFrame:
-    """host, docs, failed, rate: the share of documents that fail any rule, shrunk to the rate of all hosts.
+def host_rates(measured: DataFrame, names: list[str], margin: float = 0.25, z: float = 1.645) -> DataFrame:
+    """host, docs, failed, rates, low (maps by rule: failures, posterior means, lower ends) and bad (the rules that the host fails).
 
-    The prior's mean is the rate over all documents; its weight comes from the variance of the hosts'
-    rates beyond what sampling explains, and is held between 1 and 1000 documents.
+    measured has a host and a boolean column for each name. With m the rate of all documents and c the
+    correlation of two documents of one host (0: hosts don't differ, 1: hosts are all good or all bad), the prior's weight
+    is 1 / c - 1 documents. The expected square of (rate - m) is m (1 - m) (c + (1 - c) / docs), which gives c.
     """
-    hosts = measured.where(F.col("host").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col("failed_any").cast("long")).alias("failed"))
-    hosts = materialize(hosts, "hosts")
-    total = hosts.agg(F.sum("failed").alias("f"), F.sum("docs").alias("n")).first()
-    mean = (total["f"] or 0) / total["n"] if total["n"] else 0.0
-    rate = F.col("failed") / F.col("docs")
-    spread = hosts.agg(F.avg((rate - mean) * (rate - mean)).alias("v"), F.avg(mean * (1 - mean) / F.col("docs")).alias("s")).first()
-    beyond = max((spread["v"] or 0.0) - (spread["s"] or 0.0), 0.0)
-    weight = min(max(mean * (1 - mean) / beyond - 1, 1.0), 1000.0) if beyond else 1000.0
-    return hosts.withColumn("rate", (F.col("failed") + mean * weight) / (F.col("docs") + weight))
-
-
-def judge_documents(docs: DataFrame, max_rate: float = 0.5) -> DataFrame:
-    """All measures, base_failed, failed_any, the host's shrunk rate, and kept: no base rule fails and the host's rate is at most max_rate."""
-    measured = measure(docs)
+    c = F.col
+    sums = [F.sum(c(n).cast("long")).alias(n) for n in names]
+    hosts = materialize(measured.where(c("host").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("docs"), *sums), "hosts")
+    total = hosts.agg(F.sum("docs").alias("docs"), F.avg(1 / c("docs")).alias("alone"), *(F.sum(n).alias(n) for n in names)).first()
+    means = {n: (total[n] or 0) / total["docs"] if total["docs"] else 0.0 for n in names}
+    squares = hosts.agg(*(F.avg((c(n) / c("docs") - m) * (c(n) / c("docs") - m)).alias(n) for n, m in means.items())).first()
+    rates, low = {}, {}
+    for n, m in means.items():
+        spread, alone = m * (1 - m), total["alone"] or 1.0
+        shared = min(max(((squares[n] or 0.0) / spread - alone) / (1 - alone), 0.0), 1.0) if spread and alone < 1 else 0.0
+        rates[n] = (shared * c(n) + m * (1 - shared)) / (shared * c("docs") + 1 - shared)
+        low[n] = rates[n] - z * F.sqrt(rates[n] * (1 - rates[n]) * shared / (shared * c("docs") + 1))
+    mapped = lambda values: F.create_map(*(x for n in names for x in (F.lit(n), values[n])))
+    bad = F.filter(F.array(*(F.when(low[n] > means[n] + margin, n) for n in names)), lambda x: x.isNotNull())
+    return hosts.select("host", "docs", mapped({n: c(n) for n in names}).alias("failed"), mapped(rates).alias("rates"), mapped(low).alias("low"), bad.alias("bad"))
+
+
+def judge_documents(docs: DataFrame, margin: float = 0.25) -> DataFrame:
+    """All measures, base_failed, a column for each rule that is true if it fails, host_failed (the rules that the host fails) and kept: no base rule fails and the host fails none."""
     failures = rules()
-    measured = measured.withColumn("base_failed", failures["short"] | failures["repeats"])
-    measured = measured.withColumn("failed_any", F.col("base_failed") | failures["symbols"] | failures["lines"] | failures["word_length"])
-    measured = materialize(measured, "measures")
-    verdicts = materialize(host_rates(measured).select("host", F.col("rate").alias("host_rate")), "verdicts")
-    judged = measured.join(verdicts.hint("merge"), "host", "left")
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= max_rate))
+    measured = materialize(measure(docs).select("*", *(f.alias(n) for n, f in failures.items())), "measures")
+    verdicts = materialize(host_rates(measured, list(failures), margin).select("host", F.col("bad").alias("host_failed")), "verdicts")
+    judged = measured.join(verdicts.hint("merge"), "host", "left").withColumn("host_failed", F.coalesce("host_failed", F.array().cast("array<string>")))
+    judged = judged.withColumn("base_failed", F.col("short") | F.col("repeats"))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("host_failed") == 0))

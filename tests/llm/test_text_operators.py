@@ -36,13 +36,49 @@ def test_measures(documents, texts):
         assert not (r["base_failed"] and r["kept"])
 
 
-def test_hosts_are_shrunk(spark):
-    good, bad = " ".join(f"word{i}" for i in range(40)), "short"
-    data = [(i, bad if i < 200 else good, "en", "poor" if i < 220 else f"h{i % 10}", 1) for i in range(600)] + [(601, bad, "en", "new", 1), (602, good, "en", "poor2", 1), (603, good, "en", None, 1)]
-    got = {r["doc_id"]: r for r in rows(quality_rules.judge_documents(spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")))}
-    assert not got[210]["kept"] and got[210]["host_rate"] > 0.5  # a good text on a host that mostly fails
-    assert got[300]["kept"] and got[602]["kept"] and got[603]["kept"]
-    assert 0 < got[601]["host_rate"] < 1  # one failure isn't a rate of 1
+RULES = ("short", "repeats", "symbols", "lines", "word_length")
+
+
+def plain_verdicts(failed, margin=0.25):
+    """failed: {host: [{rule: bool} of each document]}; the rules that each host fails."""
+    bad = {h: set() for h in failed}
+    for rule in RULES:
+        counts = {h: (len(docs), sum(d[rule] for d in docs)) for h, docs in failed.items()}
+        mean = sum(f for _, f in counts.values()) / sum(n for n, _ in counts.values())
+        alone = sum(1 / n for n, _ in counts.values()) / len(counts)
+        square = sum((f / n - mean) ** 2 for n, f in counts.values()) / len(counts)
+        shared = min(max((square / (mean * (1 - mean)) - alone) / (1 - alone), 0), 1) if 0 < mean < 1 and alone < 1 else 0
+        for h, (n, f) in counts.items():
+            if not shared:
+                continue
+            a, b = mean * (1 / shared - 1) + f, (1 - mean) * (1 / shared - 1) + n - f  # the posterior beta distribution
+            if a + b and a / (a + b) - 1.645 * (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5 > mean + margin:
+                bad[h].add(rule)
+    return bad
+
+
+def test_host_verdicts(spark):
+    rng = np.random.default_rng(8)
+    good = lambda: " ".join(f"word{rng.integers(9999)}" for _ in range(40))
+    kinds = [lambda: "short", lambda: "x y z w " * 20, lambda: good().replace("word", "#$"), lambda: "\n".join(["a line of words"] * 5) + good(), lambda: " ".join("q" * 30 + str(i) for i in range(30))]
+    data, n = [], 0
+    for h in range(24):  # hosts 0 to 4 mostly fail one rule each, 5 fails it half of the time, the rest seldom
+        for _ in range(int(rng.integers(2, 60)) if h > 9 else 50):
+            kind = kinds[h % 5]
+            data.append((n, kind() if rng.random() < (0.9 if h < 5 else 0.5 if h == 5 else 0.04) else good(), "en", f"h{h}", 1))
+            n += 1
+    data += [(n + 1, "short", "en", "new", 1), (n + 2, good(), "en", None, 1), (n + 3, None, "en", None, 1)]
+    got = rows(quality_rules.judge_documents(spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")))
+    assert len(got) == len(data)
+    failed = {}
+    for r in got:
+        if r["host"]:
+            failed.setdefault(r["host"], []).append({x: r[x] for x in RULES})
+    want = plain_verdicts(failed)
+    assert all(set(r["host_failed"]) == (want[r["host"]] if r["host"] else set()) for r in got)
+    assert all(want[f"h{h}"] for h in range(5)) and not any(want[f"h{h}"] for h in range(6, 24))
+    assert all(r["kept"] == (not r["short"] and not r["repeats"] and not r["host_failed"]) for r in got)
+    assert any(r["host_failed"] and not any(r[x] for x in RULES) for r in got)  # good texts of bad hosts go
 
 
 def test_quality_rules_without_rows(no_documents):
@@ -292,3 +328,62 @@ def test_digest_of_kept_words(documents):
 
     r = substring_dedup.remove_repeated(documents).select("kept", F.sha2("kept", 256).alias("h")).first()
     assert hashlib.sha256(r["kept"].encode()).hexdigest() == r["h"]
+
+
+# discovery of secrets
+
+
+def spread_tokens(rng, count, length):
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    return ["".join(rng.choice(letters, length)) for _ in range(count)]
+
+
+def name_tokens(rng, count, length):
+    parts = "get set user account name order total invoice customer payment session window button colour release version channel market budget report".split()
+    made = []
+    for i in range(count):
+        words = [str(rng.choice(parts)) + (str(rng.integers(1000)) if rng.random() < 0.2 else "") for _ in range(length)]
+        made.append(("".join(w.capitalize() for w in words), "_".join(words), "/".join(words), "-".join(words))[i % 4][:length].rstrip("-_/") + "s")
+    return made
+
+
+@pytest.mark.parametrize("length", [24, 32, 44])
+def test_discoveries_by_length(spark, length):
+    rng = np.random.default_rng(length)
+    keys, names = spread_tokens(rng, 100, length), name_tokens(rng, 300, length)
+    got = found_secrets(spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(keys + names)], "doc_id long, text string").coalesce(4))
+    right, wrong = sum(got[i] == [k] for i, k in enumerate(keys)), sum(bool(got[i]) for i in range(100, 400))
+    assert right >= (90 if length < 32 else 95)
+    assert wrong <= 0.05 * (right + wrong) + 3  # the level, and three standard deviations of so few
+
+
+def test_words_alone_are_no_secrets(spark):
+    names = name_tokens(np.random.default_rng(1), 400, 26)
+    got = found_secrets(spark.createDataFrame([(i, f"a {t} b") for i, t in enumerate(names)], "doc_id long, text string").coalesce(4))
+    assert sum(bool(x) for x in got.values()) <= 4
+
+
+def test_cut_is_benjamini_hochberg():
+    rng = np.random.default_rng(5)
+    bins, bands = secrets.BINS, len(secrets.BANDS)
+    null = {g * bins + int(b): int(rng.integers(1, 30)) for g in range(4 * bands) for b in rng.integers(0, bins, 40)}
+    found = {g * bins + int(b): int(rng.integers(1, 6)) for g in range(4 * bands) for b in rng.integers(200, bins, 12)}
+    cuts = secrets._cuts(found, null, 0.2)
+    for band in range(bands):
+        p = []
+        for e in range(4):
+            g = e * bands + band
+            own = [(b, n) for b in range(bins) if (n := null.get(g * bins + b))]
+            for b in range(bins):
+                value = (1 + sum(n for at, n in own if at >= b)) / (1 + sum(n for _, n in own))
+                p += [(value, g, b)] * found.get(g * bins + b, 0)
+        p.sort()
+        last = max((i for i, (value, *_) in enumerate(p, 1) if value <= 0.2 * i / len(p)), default=0)
+        reported = {(g, b) for value, g, b in p if last and value <= p[last - 1][0]}
+        assert reported == {(g, b) for _, g, b in p if b >= cuts[g]}
+
+
+def test_columns_with_dots(spark):
+    df = spark.createDataFrame([(1, "password=hunter22", "x", 17)], "doc_id long, text string, `a.b` string, n_chars long")
+    got = rows(secrets.redact_documents(df))
+    assert got == [{"doc_id": 1, "text": "[assign]", "a.b": "x", "n_chars": 8}]
