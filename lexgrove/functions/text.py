@@ -24,6 +24,12 @@ PATTERN_WORDS = (
     ("Condizione", ("qualora", "nel caso", "condizione", "controllo")), ("Termine temporale", ("termine", "decorrere")),
 )
 FIRST_DATES = (r"\b\d{2}/\d{2}/\d{4}\b", r"\b\d{1,2}\.\d{1,2}\.\d{2,4}\b", r"\b\d{4}-\d{2}-\d{2}\b")
+SPANISH_DATE = r"(?i)[0-9]{1,2}\s+(?:de\s+)?(?:enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|octubre|noviembre|diciembre)\s+(?:de\s+)?[0-9]{4}"
+DOCUMENT_CODE = r"(?i)\b(?:n\.\s*)?([0-9]{3,4}/[0-9]{4})\b"
+STEM_CODE = r"(?i)([0-9]{4,5})[RD]([0-9]{3,4})(?:_|$)"
+NO_CODE = "CODICE_NON_TROVATO"
+REGULATION_HEADER = r"(?i)REGOLAMENTO\s*\(UE\)\s*N\.\s*([0-9]+/[0-9]+)"
+MOTIVES = (("Sopprime", "soppress|soppression|eliminat"), ("Sostituisce", "sostitui|modific|aggiorna"), ("Inserisce", "inserisc|inserit|aggiung|aggiunt"))
 MONTHS = "gennaio|febbraio|marzo|aprile|maggio|giugno|luglio|agosto|settembre|ottobre|novembre|dicembre"
 ALL_DATES = (r"\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b", r"\b\d{4}-\d{2}-\d{2}\b", rf"(?i)\b\d{{1,2}}\s+(?:{MONTHS})\s+\d{{2,4}}\b")
 
@@ -159,6 +165,22 @@ def all_dates(c: Column) -> Column:
     return F.array_distinct(F.concat(*(F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in ALL_DATES)))
 
 
+def spanish_dates(c: Column) -> Column:
+    """Dates such as "3 de mayo de 2021"."""
+    return F.regexp_extract_all(c, F.lit(SPANISH_DATE), F.lit(0))
+
+
+def now_text() -> Column:
+    """The time of the query in UTC, as ISO text."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def expired(updated: Column, now: Column, seconds: float) -> Column:
+    """Whether the time since the update exceeds the limit; unreadable times have expired."""
+    t = lambda c: F.unix_micros(F.try_to_timestamp(c.cast("string")))
+    return F.coalesce((t(now) - t(updated)) / 1e6 > seconds, F.lit(True))
+
+
 def seconds_between(start: Column, end: Column) -> Column:
     """0 where one is missing or can't be read."""
     t = lambda c: F.unix_micros(F.try_to_timestamp(c.cast("string")))
@@ -204,3 +226,46 @@ def response_pairs(c: Column) -> Column:
     """(requirement, core text) pairs of a labelled answer."""
     part = lambda label: F.regexp_extract_all(c, F.lit(rf"(?im)^\s*{label}\s*:\s*(.+)$"), F.lit(1))
     return F.arrays_zip(part("requirement").alias("requirement"), part("core text").alias("core_text"))
+
+
+def document_code(text: Column, stem: Column) -> Column:
+    """A code such as 648/2012 from the text, else year and number from the file's stem (32017R352: 32017/0352), else a word for none."""
+    digits = F.regexp_extract(stem, STEM_CODE, 2)
+    of_stem = F.when(digits != "", F.concat(F.regexp_extract(stem, STEM_CODE, 1), F.lit("/"), F.lpad(digits, 4, "0")))
+    return F.coalesce(F.nullif(F.regexp_extract(text, DOCUMENT_CODE, 1), F.lit("")), of_stem, F.lit(NO_CODE))
+
+
+def regulation_header(text: Column) -> Column:
+    """The first header of a regulation with its number, or null."""
+    return F.nullif(F.regexp_extract(text, REGULATION_HEADER, 0), F.lit(""))
+
+
+def amendment_section(text: Column) -> Column:
+    """What follows the first regulation header, up to an article that changes a regulation of another number; null without a header."""
+    number = F.nullif(F.regexp_extract(text, REGULATION_HEADER, 1), F.lit(""))
+    after = F.substring(text, F.instr(text, F.regexp_extract(text, REGULATION_HEADER, 0)) + F.length(F.regexp_extract(text, REGULATION_HEADER, 0)), F.length(text))
+    footer = F.concat(F.lit(r"(?ims)^Articolo\s+[0-9]+\s*\r?\n\s*Modifiche\s+del\s+Regolamento\s*\(UE\)\s*N\.?\s*(?!"), number, F.lit(r"[^0-9])[0-9]+/[0-9]+.*"))
+    return F.when(number.isNotNull(), F.trim(F.regexp_replace(F.concat(after, F.lit("\n")), footer, F.lit("")), F.lit(" \t\r\n")))
+
+
+def motive(text: Column) -> Column:
+    """What an amendment does, by the first of the kinds whose keywords occur; null for none."""
+    low = F.lower(text)
+    return reduce(lambda rest, kind: F.when(low.rlike(kind[1]), kind[0]).otherwise(rest), reversed(MOTIVES), F.lit(None).cast("string"))
+
+
+def safe_stem(c: Column) -> Column:
+    """A file's stem without characters that names can't have; "file" if nothing is left."""
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(c, r'[<>:"/\\|?*\x00-\x1f]', "_"), F.lit("_")), F.lit("")), F.lit("file"))
+
+
+def display_name(file: Column) -> Column:
+    """The safe stem of a file; of names that begin with EXT or INT the first seven characters."""
+    stem = F.regexp_replace(F.element_at(F.split(F.replace(file, F.lit("\\"), F.lit("/")), "/"), -1), r"(?<=.)\.[^.]*$", "")
+    safe = safe_stem(stem)
+    return F.when(F.upper(stem).startswith("EXT") | F.upper(stem).startswith("INT"), F.substring(safe, 1, 7)).otherwise(safe)
+
+
+def printable(c: Column) -> Column:
+    """Without control characters other than line ends and tabs."""
+    return F.regexp_replace(c, r"[\p{C}&&[^\n\t]]", "")

@@ -10,13 +10,22 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lexgrove.functions.text import plain_line
 
 # Latin extensions of article numbers in their order.
-EXTENSIONS = ("", "bis", "ter", "quater", "quinquies", "sexies", "septies", "octies", "novies", "decies")
+EXTENSIONS = (
+    "", "bis", "ter", "quater", "quinquies", "sexies", "septies", "octies", "novies", "decies",
+    "undecies", "duodecies", "terdecies", "quattuordecies", "quindecies", "sexdecies", "septendecies", "octodecies", "novendecies", "vicies",
+    "unvicies", "duovicies", "tervicies", "quattuorvicies", "quinvicies", "sexvicies", "septenvicies", "octovicies", "novenvicies", "tricies",
+)
+#: The extensions as alternatives of a pattern, longer ones first.
+EXTENSION = "|".join(sorted(EXTENSIONS[1:], key=lambda e: (-len(e), e)))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -87,14 +96,18 @@ def fold(rows: DataFrame, schema: str, step: Callable[[Columns], Columns]) -> Da
     """Each document's rows in order through a step that sees the document's columns and gives new ones.
 
     One sort by document and place; partitions are streamed, so many small documents cost no call of
-    Spark's each, and only one document is held at a time.
+    Spark's each, and only one document is held at a time. Rows with a null doc_id are one document.
     """
     names = rows.columns
+    target = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batch_of(columns: Columns) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(columns[f.name], f.type) for f in target], schema=target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Columns = {}
-        for pdf in frames:
-            columns = {c: pdf[c].tolist() for c in names}
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in names}
             ids, out, start = columns["doc_id"], {}, 0
             for i in range(1, len(ids) + 1):
                 if i < len(ids) and ids[i] == ids[start]:
@@ -106,11 +119,11 @@ def fold(rows: DataFrame, schema: str, step: Callable[[Columns], Columns]) -> Da
                 held = {c: held[c] + own[c] for c in names} if held else own
                 start = i
             if out:
-                yield pd.DataFrame(out)
+                yield batch_of(out)
         if held:
-            yield pd.DataFrame(step(held))
+            yield batch_of(step(held))
 
-    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "seq").mapInPandas(run, schema)
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "seq").mapInArrow(run, schema)
 
 
 def _extend(out: Columns, more: Columns) -> None:
@@ -157,7 +170,7 @@ def next_label(label: str, kind: str) -> str | None:
     return out
 
 
-_ITEM = re.compile(r"^\s*(?:(\d+)|([ivxlc]+)|([a-z]))\s*(bis|ter|quater|quinquies)?\s*[.)]\s+(.*)$", re.S | re.I)
+_ITEM = re.compile(rf"^\s*(?:(\d+)|([ivxlc]+)|([a-z]))\s*({EXTENSION})?\s*[.)]\s+(.*)$", re.S | re.I)
 
 
 def list_items(docs: DataFrame) -> DataFrame:
@@ -207,18 +220,23 @@ def title_paths(blocks: DataFrame, body_size: float = 11.0) -> DataFrame:
 
 
 def token_batches(items: DataFrame, most: int = 20_000) -> DataFrame:
-    """doc_id, seq, batch: items (tokens) in order, a batch ends before it would exceed the most."""
+    """doc_id, seq, part, tokens, batch: items (tokens) in order, a batch ends before it would exceed the most; items over the most are split."""
+    own = items.select("doc_id", "seq", F.col("tokens").cast("long").alias("tokens"))
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("tokens") / most) - 1, F.lit(0)).cast("int")), lambda i: F.struct(i.alias("part"), F.least(F.lit(most), F.col("tokens") - i * most).alias("tokens")))
+    parts = own.select("doc_id", "seq", F.explode(pieces).alias("p")).select("doc_id", "seq", "p.part", "p.tokens")
 
     def step(doc: Columns) -> Columns:
+        order = sorted(range(len(doc["seq"])), key=lambda i: (doc["seq"][i], doc["part"][i]))
+        columns = {c: [doc[c][i] for i in order] for c in doc}
         batch, used, out = 0, 0, []
-        for tokens in doc["tokens"]:
+        for tokens in columns["tokens"]:
             if used and used + tokens > most:
                 batch, used = batch + 1, 0
             used += tokens
             out.append(batch)
-        return {"doc_id": doc["doc_id"], "seq": doc["seq"], "batch": out}
+        return columns | {"batch": out}
 
-    return fold(items, "doc_id long, seq int, batch int", step)
+    return fold(parts, "doc_id long, seq int, part int, tokens long, batch int", step)
 
 
 _END = re.compile(r"[.!?](?=\s)")

@@ -101,16 +101,26 @@ def over_threshold(pairs: DataFrame, key: str, score: str, order: str, least: fl
     return best_match(pairs.where(F.col(score) >= least), key, score, order).drop("weak")
 
 
-def name_lookup(names: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Each name with the hash of the best fitting catalog name: equal, equal file part, equal suffix, equal key.
+def name_lookup(names: DataFrame, catalog: DataFrame, least: int = 10, gram: int = 8) -> DataFrame:
+    """Each name with the hash of the best fitting catalog name: equal, equal file part, equal suffix, equal key, one key within the other.
 
-    names: name. catalog: known, hash. Each rule is an equality join; the rule's order decides.
+    names: name. catalog: known, hash. Each rule is an equality join; the rule's order decides. Keys within others, of so many characters
+    at least, share all their runs of `gram` characters: the shorter key's first run meets the runs of the other.
     """
     file = lambda c: F.element_at(F.split(c, "/"), -1)
     suffix = lambda c: F.regexp_replace(file(c), r"^[^_]*_", "")
-    forms = (lambda c: c, file, suffix, lambda c: name_key(F.regexp_replace(file(c), r"\.[A-Za-z0-9]+$", "")))
-    keys = lambda df, c: df.select("*", F.posexplode(F.array(*(f(F.col(c)) for f in forms))).alias("rule", "key"))
-    hits = keys(names.distinct(), "name").join(keys(catalog, "known"), ["rule", "key"]).groupBy("name").agg(F.min_by("hash", F.struct("rule", "known")).alias("hash"), F.min("rule").alias("rule"))
+    plain = lambda c: name_key(F.regexp_replace(file(c), r"\.[A-Za-z0-9]+$", ""))
+    keys = lambda df, c: df.select("*", F.posexplode(F.array(*(f(F.col(c)) for f in (lambda c: c, file, suffix, plain)))).alias("rule", "key"))
+    wanted = names.select("name").distinct()
+    equal = keys(wanted, "name").join(keys(catalog, "known"), ["rule", "key"]).select("name", "rule", "known", "hash")
+    open_ = wanted.join(equal.select("name").distinct(), "name", "left_anti").withColumn("a", plain(F.col("name"))).where(F.length("a") >= least)
+    held = catalog.withColumn("b", plain(F.col("known"))).where(F.length("b") >= least)
+    runs = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - gram + 1), lambda i: F.substring(c, i, gram))))
+    first = lambda c: F.substring(c, 1, gram)
+    inside = open_.withColumn("run", first(F.col("a"))).join(held.withColumn("run", runs(F.col("b"))), "run").where(F.col("b").contains(F.col("a")))
+    around = open_.withColumn("run", runs(F.col("a"))).join(held.withColumn("run", first(F.col("b"))), "run").where(F.col("a").contains(F.col("b")))
+    within = inside.unionByName(around).select("name", F.lit(4).alias("rule"), "known", "hash")
+    hits = equal.unionByName(within).groupBy("name").agg(F.min_by("hash", F.struct("rule", "known")).alias("hash"), F.min("rule").alias("rule"))
     return names.join(hits, "name", "left")
 
 

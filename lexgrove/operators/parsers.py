@@ -11,7 +11,7 @@ from lexgrove.functions.fuzzy import fuzzy_partial_ratio
 from lexgrove.functions.text import provision_type
 from lexgrove.operators import lines as L
 
-ARTICLE = r"(?i)^\s*(?:articolo|article|artículo|art\.)\s+(\d+)\s*(bis|ter|quater|quinquies|sexies|septies|octies|novies|decies)?\.?\s*$"
+ARTICLE = r"(?i)^\s*(?:articolo|article|artículo|art\.)\s+(\d+)\s*(" + L.EXTENSION + r")?\.?\s*$"
 ANNEX = r"(?i)^\s*(?:allegato|annex|anexo)\b"
 RECITAL = r"^\s*\((\d+)\)\s+(.*)$"
 

@@ -571,8 +571,11 @@ def fuzzy_names(t: Table) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from lexgrove.plans import documents  # noqa: F401  registers its queries here
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)
