@@ -50,8 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to documents; what a stage has read is removed once its result is stored."""
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = scratch.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, path = scratch.stored(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if read:
+            scratch.drop(spark, read)
+        read = path
     return docs
