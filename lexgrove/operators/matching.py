@@ -24,24 +24,6 @@ def first_match(left: DataFrame, right: DataFrame, key: str, order: str, columns
     return left.join(first, key, "left").select(*left.columns, *(F.col(f"hit.{c}").alias(f"hit_{c}") for c in columns))
 
 
-def article_verdicts(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Verdict on each article of the newer version, and the removed ones of the older.
-
-    Both: doc_id, art_seq, art_id, content, is_placeholder. Rules in this order: short ids are
-    discarded, placeholders removed, equal content confirmed, an old placeholder means inserted, other
-    content is to be checked, no match is inserted.
-    """
-    keyed = lambda df: df.withColumn("key", alnum_key(F.col("art_id"))).withColumn("clean", alnum_key(F.col("content")))
-    both = last_match(keyed(new).withColumn("pair", F.concat_ws("|", "doc_id", "key")), keyed(old).withColumn("pair", F.concat_ws("|", "doc_id", "key")), "pair", "art_seq", ["art_seq", "clean", "is_placeholder"])
-    verdict = (
-        F.when(F.length("key") <= 4, "Scartato").when(F.col("is_placeholder"), "Eliminato").when(F.col("old_art_seq").isNull(), "Inserito")
-        .when(F.col("clean") == F.col("old_clean"), "Confermato").when(F.col("old_is_placeholder"), "Inserito").otherwise("Da Verificare")
-    )
-    judged = both.select("doc_id", "art_seq", "art_id", "old_art_seq", verdict.alias("verdict"))
-    gone = keyed(old).join(keyed(new).select("doc_id", "key").distinct(), ["doc_id", "key"], "left_anti")
-    return judged.unionByName(gone.select("doc_id", F.lit(None).cast("int").alias("art_seq"), "art_id", F.col("art_seq").alias("old_art_seq"), F.lit("Rimosso").alias("verdict")))
-
-
 def renamed(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Equal cleaned ids first, else ids whose edit distance is under a tenth of their length; the closest of each a."""
     left, right = alnum_key(F.col(a)), alnum_key(F.col(b))

@@ -16,8 +16,10 @@ SECOND = "Da Verificare II"
 INHERITED, MISMATCH = "Ereditato", "Errore"
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({"key": alnum_key(article_id(F.col("art_id"))), "par_key": alnum_key(F.col("par_id")), "clean": alnum_key(F.col("content"))})
+def keyed(rows: DataFrame) -> DataFrame:
+    """Rows with key, clean and, if they have paragraphs, par_key."""
+    found = rows.withColumns({"key": alnum_key(article_id(F.col("art_id"))), "clean": alnum_key(F.col("content"))})
+    return found.withColumn("par_key", alnum_key(F.col("par_id"))) if "par_id" in rows.columns else found
 
 
 def article_verdicts(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -73,7 +75,7 @@ def compare(new: DataFrame, old: DataFrame) -> DataFrame:
 
     Sub-paragraphs are always discarded. Levels are called Capitolo (articles) and Paragrafo (the others), as in the result tables.
     """
-    new, old = _keyed(new), _keyed(old)
+    new, old = keyed(new), keyed(old)
     level = lambda df, name: df.where(F.col("level") == name)
     articles = article_verdicts(level(new, "article"), level(old, "article"))
     paragraphs = paragraph_verdicts(articles, level(new, "paragraph"), level(old, "paragraph"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lexgrove.functions import fuzzy
 from lexgrove.functions import text as X
-from lexgrove.operators import graph, hierarchy, lines, matching, parsers, profile, scoring, statistics
+from lexgrove.operators import graph, hierarchy, lines, matching, parsers, profile, scoring, shapes, statistics, versioning
+from lexgrove.sources import readers
 from lexgrove.streaming import inbox
 
 Table = Callable[[str], DataFrame]
@@ -61,14 +62,6 @@ def first_words(t: Table) -> DataFrame:
     return t("documents").select("doc_id", X.first_words(F.col("text"), 10).alias("excerpt"))
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '[A-Z]{2,}|\d{4,}')) / greatest(length(text) - length(replace(replace(text, '.', ''), chr(10), '')), 1) AS complexity FROM documents WHERE regexp_matches(text, '^[ -~\n]*$')")
-def plain_complexity(t: Table) -> DataFrame:
-    """Over ASCII texts, with words taken as runs of capitals."""
-    marks = F.length("text") - F.length(F.translate("text", ".\n", ""))
-    docs = t("documents").where(F.col("text").rlike(r"^[ -~\n]*$"))
-    return docs.select("doc_id", (F.regexp_count("text", F.lit(r"[A-Z]{2,}|\d{4,}")) / F.greatest(marks, F.lit(1))).alias("complexity"))
-
-
 @query()
 def content_complexity(t: Table) -> DataFrame:
     """Over all texts, with whole words; a null text has a null complexity. DuckDB's word boundaries know ASCII letters only."""
@@ -95,23 +88,30 @@ def legal_sources(t: Table) -> DataFrame:
     return t("documents").groupBy(X.legal_source(name).alias("legal_source")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    r"""SELECT p_partkey, CASE WHEN starts_with(u, 'REAL DECRETO-LEY') THEN 'REAL DECRETO-LEY' WHEN starts_with(u, 'REAL DECRETO') THEN 'REAL DECRETO' WHEN starts_with(u, 'LEY') THEN 'LEY' WHEN starts_with(u, 'ORDEN') THEN 'ORDEN' ELSE '' END AS provision
-    FROM (SELECT p_partkey, upper(CASE p_partkey % 5 WHEN 0 THEN 'Real Decreto-ley ' WHEN 1 THEN 'Real decreto ' WHEN 2 THEN 'ley ' WHEN 3 THEN 'Orden' ELSE '- ' END || p_name) AS u FROM part)"""
-)
+WORDS_OF = "[" + ", ".join(f"'{w}'" for w in X.PROVISIONS) + "]"
+
+
+@query(f"SELECT p_partkey, coalesce(list_filter({WORDS_OF}, lambda w: starts_with(upper(x), w))[1], '') AS provision FROM (SELECT p_partkey, coalesce(lower({WORDS_OF}[p_partkey % 30 + 1]), 'other') || CASE WHEN p_partkey % 2 = 0 THEN ' ' || p_name ELSE p_name END AS x FROM part)")
 def provision_types(t: Table) -> DataFrame:
-    k = F.col("p_partkey") % 5
-    text = F.concat(F.when(k == 0, "Real Decreto-ley ").when(k == 1, "Real decreto ").when(k == 2, "ley ").when(k == 3, "Orden").otherwise("- "), F.col("p_name"))
-    return t("part").select("p_partkey", X.provision_type(text).alias("provision"))
+    """Texts that begin with each of the keywords, in lower case, followed by a space or not."""
+    word = F.coalesce(F.lower(F.get(F.array(*map(F.lit, X.PROVISIONS)), (F.col("p_partkey") % 30).cast("int"))), F.lit("other"))
+    return t("part").select("p_partkey", X.provision_type(F.concat(word, F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), "p_name")).otherwise(F.col("p_name")))).alias("provision"))
+
+
+REQUIREMENTS = [w for _, words in X.PATTERN_WORDS for w in words] + ["entro il", "nulla"]
 
 
 @query(
-    r"""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'Obbligo' WHEN 1 THEN 'Divieto' WHEN 2 THEN 'Condizione' WHEN 3 THEN 'Termine temporale' WHEN 4 THEN 'Termine temporale' ELSE 'altro' END AS kind FROM orders"""
+    "SELECT o_orderkey, CASE " + " ".join("WHEN " + " OR ".join(f"regexp_matches(x, '(^|[^\\p{{L}}\\p{{N}}_])({w})($|[^\\p{{L}}\\p{{N}}_])')" for w in words) + f" THEN '{kind}'" for kind, words in X.PATTERN_WORDS)
+    + f" WHEN contains(x, 'entro il') THEN 'Termine temporale' ELSE 'altro' END AS kind FROM (SELECT o_orderkey, lower(o_orderpriority || ' ' || w[o_orderkey % {len(REQUIREMENTS)} + 1] || CASE o_orderkey % 3 WHEN 0 THEN 'x' WHEN 1 THEN ', ' ELSE ' ' END || w[o_orderkey // 7 % {len(REQUIREMENTS)} + 1]) AS x FROM (SELECT *, ["
+    + ", ".join(f"'{w}'" for w in REQUIREMENTS) + "] AS w FROM orders))"
 )
 def requirement_kinds(t: Table) -> DataFrame:
-    k = F.col("o_orderkey") % 6
-    text = F.when(k == 0, "La banca DEVE inviare").when(k == 1, "è vietato cedere").when(k == 2, "qualora il caso").when(k == 3, "il termine").when(k == 4, "entro il giorno").otherwise("devesi niente")
-    return t("orders").select("o_orderkey", X.pattern_class(text).alias("kind"))
+    """Two keywords to a sentence, some of them run into the next word, some in capitals."""
+    word = lambda i: F.get(F.array(*map(F.lit, REQUIREMENTS)), (i % len(REQUIREMENTS)).cast("int"))
+    k = F.col("o_orderkey")
+    mark = F.when(k % 3 == 0, "x").when(k % 3 == 1, ", ").otherwise(" ")
+    return t("orders").select("o_orderkey", X.pattern_class(F.upper(F.concat("o_orderpriority", F.lit(" "), word(k), mark, word(F.floor(k / 7))))).alias("kind"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN c = 0 THEN '' WHEN c = 30 THEN 'literal' WHEN c >= 15 THEN 'strong' WHEN c <= 1 THEN 'misleading' ELSE 'weak' END AS band FROM (SELECT *, CAST(l_quantity AS BIGINT) % 31 AS c FROM lineitem)")
@@ -191,37 +191,43 @@ def inherited_references(t: Table) -> DataFrame:
     return hierarchy.inherited_references(units).select(F.col("doc_id").alias("o_custkey"), F.col("sub_seq").alias("o_orderkey"), F.array_join("all_refs", ",").alias("all_refs"))
 
 
-@query("SELECT doc_id, line FROM (SELECT doc_id, line, max(contains(line, 'th')) OVER (PARTITION BY doc_id) AS law FROM (" + LINES + ")) WHERE NOT (law AND regexp_matches(line, '^[0-9]+$'))")
+@query("SELECT doc_id, line FROM (SELECT doc_id, line, max(contains(lower(line), 'th')) OVER (PARTITION BY doc_id) AS law FROM (" + LINES + ")) WHERE NOT (law AND regexp_matches(line, '^[0-9]+$'))")
 def law_mode(t: Table) -> DataFrame:
-    """Where any id has a mark, purely numeric ids go."""
-    from pyspark.sql import Window
-
-    marked = lines.lines_of(t("documents")).withColumn("law", F.max(F.col("line").contains("th")).over(Window.partitionBy("doc_id")))
-    return marked.where(~(F.col("law") & F.col("line").rlike("^[0-9]+$"))).select("doc_id", "line")
+    """Where any line has a mark, purely numeric lines go."""
+    return shapes.law_mode(lines.lines_of(t("documents")), "doc_id", "line", "th").select("doc_id", "line")
 
 
 # comparison
 
 
-@query(rf"WITH a AS ({LINES}) SELECT r.doc_id, r.n AS n_art, a.line AS target, a.line IS NOT NULL AS found FROM (SELECT doc_id, n_chars % 9 + 1 AS n FROM documents) r LEFT JOIN a ON a.doc_id = r.doc_id AND a.seq + 1 = r.n")
+@query(
+    rf"""WITH l AS ({LINES}), a AS (SELECT doc_id, seq + 1 AS n_art, '' AS n_par, line AS content FROM l UNION ALL SELECT doc_id, seq + 1, CAST(i AS VARCHAR), p[i] FROM (SELECT *, string_split(line, '. ') AS p FROM l), unnest(range(1, len(p) + 1)) AS u(i)),
+    r AS (SELECT doc_id, n_chars % 9 + 1 AS n_art, CASE WHEN doc_id % 2 = 0 THEN CAST(n_chars % 3 + 1 AS VARCHAR) ELSE '' END AS n_par FROM documents)
+    SELECT r.doc_id, r.n_art, nullif(r.n_par, '') AS n_par, a.content AS target, a.content IS NOT NULL AS found FROM r LEFT JOIN a USING (doc_id, n_art, n_par)"""
+)
 def reference_resolution(t: Table) -> DataFrame:
+    """Half of the references name a paragraph of the article, the others the article itself."""
     docs = t("documents")
-    articles = lines.lines_of(docs).select("doc_id", (F.col("seq") + 1).alias("n_art"), F.lit(None).cast("string").alias("n_par"), F.col("line").alias("content"))
-    refs = docs.select("doc_id", (F.col("n_chars") % 9 + 1).alias("n_art"), F.lit(None).cast("string").alias("n_par"))
-    return matching.resolve_references(refs, articles).select("doc_id", "n_art", "target", "found")
+    own = lines.lines_of(docs).withColumn("n_art", F.col("seq") + 1)
+    paragraphs = own.select("doc_id", "n_art", F.posexplode(F.split("line", r"\. ")).alias("i", "content")).select("doc_id", "n_art", (F.col("i") + 1).cast("string").alias("n_par"), "content")
+    articles = own.select("doc_id", "n_art", F.lit(None).cast("string").alias("n_par"), F.col("line").alias("content")).unionByName(paragraphs)
+    refs = docs.select("doc_id", (F.col("n_chars") % 9 + 1).alias("n_art"), F.when(F.col("doc_id") % 2 == 0, (F.col("n_chars") % 3 + 1).cast("string")).alias("n_par"))
+    return matching.resolve_references(refs, articles).select("doc_id", "n_art", "n_par", "target", "found")
 
 
 @query(
-    rf"""WITH l AS (SELECT doc_id, seq, 'Articolo ' || (seq + 1) AS id, line FROM ({LINES})), n AS (SELECT *, seq % 11 = 5 AS ph FROM l WHERE seq % 5 <> 1), o AS (SELECT doc_id, seq, id, CASE WHEN seq % 7 = 3 THEN line || ' x' ELSE line END AS line, seq % 13 = 5 AS ph FROM l WHERE seq % 4 <> 2)
-    SELECT n.doc_id, n.seq AS art_seq, n.id AS art_id, o.seq AS old_art_seq, CASE WHEN n.ph THEN 'Eliminato' WHEN o.seq IS NULL THEN 'Inserito' WHEN {CLEAN("n.line")} = {CLEAN("o.line")} THEN 'Confermato' WHEN o.ph THEN 'Inserito' ELSE 'Da Verificare' END AS verdict FROM n LEFT JOIN o ON n.doc_id = o.doc_id AND n.id = o.id
-    UNION ALL SELECT doc_id, NULL, id, seq, 'Rimosso' FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.doc_id = o.doc_id AND n.id = o.id)"""
+    rf"""WITH l AS (SELECT doc_id, seq, CASE WHEN seq % 19 = 18 THEN 'Art' ELSE 'Articolo ' || (seq + 1) END AS id, line FROM ({LINES})), n AS (SELECT *, seq % 11 = 5 AS ph FROM l WHERE seq % 5 <> 1), o AS (SELECT doc_id, seq, id, CASE WHEN seq % 7 = 3 THEN line || ' x' ELSE line END AS line, seq % 13 = 5 AS ph FROM l WHERE seq % 4 <> 2),
+    f AS (SELECT doc_id, id, max(seq) AS seq, arg_max(line, seq) AS line, arg_max(ph, seq) AS ph FROM o GROUP BY 1, 2),
+    j AS (SELECT n.doc_id, n.seq AS art_seq, n.id AS art_id, f.seq AS os, CASE WHEN n.id = 'Art' THEN 'Scartato' WHEN n.ph THEN 'Eliminato' WHEN f.seq IS NULL THEN 'Inserito' WHEN {CLEAN("n.line")} = {CLEAN("f.line")} THEN 'Confermato' WHEN f.ph THEN 'Inserito' ELSE 'Da Verificare' END AS verdict FROM n LEFT JOIN f USING (doc_id, id))
+    SELECT doc_id, art_seq, art_id, CASE WHEN verdict IN ('Confermato', 'Da Verificare') THEN os END AS old_art_seq, verdict FROM j UNION ALL SELECT doc_id, NULL, id, seq, 'Rimosso' FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.doc_id = o.doc_id AND n.id = o.id)"""
 )
 def version_verdicts(t: Table) -> DataFrame:
-    all_ = lines.lines_of(t("documents")).select("doc_id", F.col("seq").alias("art_seq"), F.concat(F.lit("Articolo "), (F.col("seq") + 1).cast("string")).alias("art_id"), F.col("line").alias("content"))
+    name = F.when(F.col("seq") % 19 == 18, "Art").otherwise(F.concat(F.lit("Articolo "), (F.col("seq") + 1).cast("string")))
+    all_ = lines.lines_of(t("documents")).select("doc_id", F.col("seq").alias("art_seq"), name.alias("art_id"), F.col("line").alias("content"))
     new = all_.where(F.col("art_seq") % 5 != 1).withColumn("is_placeholder", F.col("art_seq") % 11 == 5)
     changed = F.when(F.col("art_seq") % 7 == 3, F.concat("content", F.lit(" x"))).otherwise(F.col("content"))
     old = all_.where(F.col("art_seq") % 4 != 2).withColumn("content", changed).withColumn("is_placeholder", F.col("art_seq") % 13 == 5)
-    return matching.article_verdicts(new, old)
+    return versioning.article_verdicts(versioning.keyed(new), versioning.keyed(old)).select("doc_id", "art_seq", "art_id", "old_art_seq", "verdict")
 
 
 @query("SELECT a, b, distance FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS r FROM (SELECT s_name AS a, c_name AS b, levenshtein(lower(regexp_replace(s_name, '[^A-Za-z0-9]', '', 'g')), lower(regexp_replace(replace(c_name, 'Customer', 'Supplier'), '[^A-Za-z0-9]', '', 'g'))) AS distance, length(regexp_replace(s_name, '[^A-Za-z0-9]', '', 'g')) AS n FROM supplier JOIN customer ON s_nationkey = c_nationkey) WHERE distance = 0 OR distance < 0.1 * n) WHERE r = 1")
@@ -338,7 +344,10 @@ def fixed_chunks(t: Table) -> DataFrame:
     return lines.fixed_chunks(t("documents"), 1000)
 
 
-@query()
+@query(
+    rf"""WITH m AS (SELECT *, length(line) < 60 AS alone, sum((NOT length(line) < 60)::INT) OVER (PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS island FROM ({LINES})), o AS (SELECT *, alone AND sum(alone::INT) OVER (PARTITION BY doc_id, island ORDER BY seq ROWS UNBOUNDED PRECEDING) % 2 = 1 AS opens FROM m),
+    p AS (SELECT *, lead(line) OVER w AS following, coalesce(lag(opens) OVER w, false) AS taken FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY seq)) SELECT doc_id, seq, CASE WHEN opens AND following IS NOT NULL THEN line || ' ' || following ELSE line END AS line FROM p WHERE NOT taken"""
+)
 def broken_lines(t: Table) -> DataFrame:
     return lines.joined_broken_lines(lines.lines_of(t("documents")), F.length("line") < 60)
 
@@ -358,20 +367,45 @@ def list_items(t: Table) -> DataFrame:
     return lines.list_items(t("documents"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE i AS (SELECT o_custkey AS doc_id, CAST(o_orderkey AS INTEGER) AS seq, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) // 3 + o_orderkey % 2 AS BIGINT) AS number, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 30 + 1 AS BIGINT) ELSE 1 END AS own, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders),
+    f AS (SELECT doc_id, seq, r, own, number, true AS accepted, number AS last, own AS rank FROM i WHERE r = 1
+      UNION ALL SELECT doc_id, seq, r, own, number, ok, CASE WHEN ok THEN number ELSE last END, CASE WHEN ok THEN own ELSE rank END FROM (SELECT i.*, f.last, f.rank, f.last = 0 OR CASE WHEN i.number = f.last + 1 THEN i.own = 1 ELSE i.number = f.last AND i.own - f.rank IN (1, 2) OR i.number = f.last + 2 END AS ok FROM f JOIN i ON i.doc_id = f.doc_id AND i.r = f.r + 1))
+    SELECT doc_id, seq, number, ["""
+    + ", ".join(f"'{e}'" for e in lines.EXTENSIONS) + "][own] AS extension, accepted FROM f"
+)
 def accepted_articles(t: Table) -> DataFrame:
-    return lines.accepted_articles(t("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("seq"), (F.col("l_linenumber") + F.col("l_suppkey") % 3).cast("long").alias("number"), F.when(F.col("l_partkey") % 4 == 0, "bis").alias("extension")))
+    from pyspark.sql import Window
 
+    o = F.col("o_orderkey")
+    extension = F.when(o % 3 == 0, F.get(F.array(*map(F.lit, lines.EXTENSIONS)), (o % 30).cast("int"))).otherwise("")
+    number = (F.floor(F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) / 3) + o % 2).cast("long")
+    return lines.accepted_articles(t("orders").select(F.col("o_custkey").alias("doc_id"), o.cast("int").alias("seq"), number.alias("number"), extension.alias("extension")))
 
-@query()
+
+@query(
+    rf"""WITH b AS (SELECT doc_id, seq, line, CASE WHEN length(line) < 120 THEN CASE WHEN length(line) % 7 + 10 >= 15.4 THEN 1 WHEN length(line) % 7 + 10 >= 13.2 THEN 2 ELSE 3 END ELSE 0 END AS level FROM ({LINES})),
+    p AS (SELECT *, """ + ", ".join(f"last_value(CASE WHEN level = {k} THEN seq END IGNORE NULLS) OVER w AS s{k}, last_value(CASE WHEN level = {k} THEN line END IGNORE NULLS) OVER w AS t{k}" for k in (1, 2, 3))
+    + """ FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING))
+    SELECT doc_id, seq, level, concat_ws(' > ', CASE WHEN s1 IS NOT NULL THEN '1 ' || t1 END, CASE WHEN s2 > coalesce(s1, -1) THEN '2 ' || t2 END, CASE WHEN s3 > greatest(coalesce(s1, -1), coalesce(s2, -1)) THEN '3 ' || t3 END) AS path FROM p"""
+)
 def title_paths(t: Table) -> DataFrame:
-    blocks = lines.lines_of(t("documents")).withColumns({"size": (F.length("line") % 7 + 10).cast("double"), "is_title": F.length("line") < 120})
-    return lines.title_paths(blocks)
+    """Each title in a path is shown with its level."""
+    size = (F.length("line") % 7 + 10).cast("double")
+    found = lines.lines_of(t("documents")).withColumns({"size": size, "is_title": F.length("line") < 120})
+    named = found.withColumn("line", F.concat(F.when(size >= 1.4 * 11, "1 ").when(size >= 1.2 * 11, "2 ").otherwise("3 "), "line"))
+    return lines.title_paths(named).withColumn("path", F.array_join("path", " > "))
 
 
-@query()
+@query(
+    """WITH RECURSIVE i AS (SELECT o_custkey AS doc_id, CAST(o_orderkey AS INTEGER) AS seq, CAST(floor(o_totalprice / 20) AS BIGINT) AS tokens FROM orders), p AS (SELECT doc_id, seq, CAST(k AS INTEGER) AS part, least(3000, tokens - k * 3000) AS tokens FROM i, unnest(range(0, greatest((tokens + 2999) // 3000, 1))) AS u(k)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq, part) AS r FROM p),
+    f AS (SELECT *, 0 AS batch, tokens AS used FROM o WHERE r = 1 UNION ALL SELECT o.*, CASE WHEN f.used > 0 AND f.used + o.tokens > 3000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.used > 0 AND f.used + o.tokens > 3000 THEN o.tokens ELSE f.used + o.tokens END FROM f JOIN o ON o.doc_id = f.doc_id AND o.r = f.r + 1)
+    SELECT doc_id, seq, part, tokens, batch FROM f"""
+)
 def token_batches(t: Table) -> DataFrame:
-    return lines.token_batches(t("lineitem").select(F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("int").alias("seq"), (F.col("l_quantity") * 100).cast("int").alias("tokens")))
+    items = t("orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").cast("int").alias("seq"), F.floor(F.col("o_totalprice") / 20).alias("tokens"))
+    return lines.token_batches(items, 3000)
 
 
 # statistics
@@ -398,9 +432,20 @@ def token_rates(t: Table) -> DataFrame:
     return statistics.token_rate(_operations(t), "mode", "tokens", "seconds")
 
 
-@query(f"SELECT mode, round(regr_slope(seconds, tokens) * 500 + regr_intercept(seconds, tokens), 6) AS estimate, 'linear' AS source FROM ({OPS}) WHERE tokens > 0 AND seconds > 10 AND seconds < 1800 AND seconds / tokens < 1.0 GROUP BY mode HAVING count(*) >= 10")
+CHAINED = "SELECT event_type || '/' || user_id % 40 AS mode, CASE WHEN user_id % 40 = 3 THEN 0 ELSE user_id + 1 END AS tokens, value AS seconds FROM events"
+
+
+@query(
+    f"""WITH v AS (SELECT *, seconds / tokens AS rate FROM ({CHAINED}) WHERE tokens > 0 AND seconds > 10 AND seconds < 1800 AND seconds / tokens < 1.0),
+    g AS (SELECT mode, count(*) AS n, regr_slope(seconds, tokens) * 500 + regr_intercept(seconds, tokens) AS fit, sum(seconds) / sum(tokens) AS ratio FROM v GROUP BY mode),
+    p AS (SELECT mode, avg(CASE WHEN r > floor(n * 0.1) AND r <= n - floor(n * 0.1) THEN rate END) AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY rate) AS r, count(*) OVER (PARTITION BY mode) AS n FROM v) GROUP BY mode HAVING any_value(n) >= 3)
+    SELECT mode, round(CASE WHEN n >= 10 AND fit IS NOT NULL THEN fit ELSE coalesce(truncated * 500, ratio * 500, 500 / 63.0) END, 6) AS estimate, CASE WHEN n >= 10 AND fit IS NOT NULL THEN 'linear' WHEN truncated IS NOT NULL THEN 'truncated' WHEN ratio IS NOT NULL THEN 'ratio' ELSE 'fallback' END AS source FROM (SELECT DISTINCT mode FROM ({CHAINED})) LEFT JOIN g USING (mode) LEFT JOIN p USING (mode)"""
+)
 def time_estimates(t: Table) -> DataFrame:
-    return statistics.time_estimates(_operations(t), "mode", "tokens", "seconds", F.lit(500)).where("source = 'linear'").withColumn("estimate", F.round("estimate", 6))
+    """Modes of few operations, so that every link of the chain decides some."""
+    mode = F.concat("event_type", F.lit("/"), (F.col("user_id") % 40).cast("string"))
+    ops = t("events").select(mode.alias("mode"), F.when(F.col("user_id") % 40 == 3, 0).otherwise(F.col("user_id") + 1).alias("tokens"), F.col("value").alias("seconds"))
+    return statistics.time_estimates(ops, "mode", "tokens", "seconds", F.lit(500)).withColumn("estimate", F.round("estimate", 6))
 
 
 @query(f"SELECT mode, event_id FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY ts DESC, event_id DESC) AS r FROM ({OPS})) WHERE r <= 10")
@@ -453,12 +498,36 @@ def graph_edges(t: Table) -> DataFrame:
     return _graph(t)[1]
 
 
-@query(f"WITH e AS ({EDGES}) SELECT * FROM e WHERE type = 'CONTAINS' AND target IN (SELECT id FROM ({SECTIONS}) WHERE seq < 3)")
+@query(f"WITH e AS ({EDGES}) SELECT type, source, target FROM e WHERE type <> 'PUBLISHED'")
 def anchored_edges(t: Table) -> DataFrame:
-    docs = t("documents")
-    few = lines.lines_of(docs).where("seq < 3").select("doc_id", "seq", F.lit(None).cast("int").alias("parent"), F.col("line").alias("content"))
-    nodes = graph.document_graph(docs.select("doc_id", "source"), few)[0].where("labels[0] != 'LegalSource'")
-    return graph.anchored_edges(_graph(t)[1].where("type = 'CONTAINS'"), nodes)
+    """All edges, and as many to targets that don't exist; nodes of sources are left out, so that their edges go as well."""
+    nodes, edges = _graph(t)
+    dangling = edges.withColumn("target", F.concat("target", F.lit("/none")))
+    return graph.anchored_edges(edges.unionByName(dangling), nodes.where("labels[0] != 'LegalSource'"))
+
+
+@query(f"SELECT 'document::' || doc_id AS source, 'author::' || substr(sha256(a), 1, 24) AS target FROM (SELECT DISTINCT doc_id, unnest([lower(source), 'same author']) AS a FROM documents WHERE doc_id IS NOT NULL)")
+def author_edges(t: Table) -> DataFrame:
+    docs = t("documents").select("doc_id", F.array(F.concat(F.lit(" "), F.upper("source")), F.lit("Same Author"), F.lit(" ")).alias("authors"))
+    return graph.author_edges(docs).drop("type")
+
+
+@query("SELECT type, count(*) AS n FROM (SELECT DISTINCT 'HAS_CONCEPT' AS type, o_custkey AS d, CAST(x AS VARCHAR) AS x FROM (SELECT o_custkey, x, dense_rank() OVER (PARTITION BY o_custkey ORDER BY f) AS r FROM (SELECT *, o_orderkey // 2 % 40 AS x, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderkey // 2 % 40) AS f FROM orders)) WHERE r <= 8 UNION ALL SELECT DISTINCT 'REQUIRES_ACTION', o_custkey, CAST(o_orderkey AS VARCHAR) FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 5) GROUP BY 1")
+def enrichment_edges(t: Table) -> DataFrame:
+    own = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority")))
+    docs = t("orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.transform(own, lambda x: F.concat((F.floor(x["o_orderkey"] / 2) % 40).cast("string"), F.lit(" "))).alias("concepts"), F.transform(own, lambda x: x["o_orderkey"].cast("string")).alias("actions"))
+    return graph.enrichment(docs)[1].groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+ABSTRACT = r"array_to_string(list_slice(string_split(trim(regexp_replace(x, '[ \t\n\x0B\f\r]+', ' ', 'g')), ' '), 1, {n}), ' ')"
+
+
+@query(rf"WITH a AS (SELECT doc_id, seq, {ABSTRACT.format(n=200).replace('x,', 'y,')} AS a FROM (SELECT doc_id, seq, CASE WHEN seq % 3 = 0 THEN 'the requirement' ELSE {ABSTRACT.format(n=200).replace('x,', 'line,')} END || CASE WHEN seq % 2 = 0 THEN ' core ' || seq ELSE '' END AS y FROM ({LINES}))) SELECT doc_id, md5({ABSTRACT.format(n=500)}) AS description FROM (SELECT doc_id, string_agg(a, ' ' ORDER BY seq) AS x FROM a GROUP BY 1)")
+def document_descriptions(t: Table) -> DataFrame:
+    found = lines.lines_of(t("documents"))
+    core = F.when(F.col("seq") % 2 == 0, F.concat(F.lit("core "), "seq"))
+    sections = found.select("doc_id", "seq", graph.abstract(F.when(F.col("seq") % 3 == 0, "the requirement").otherwise(" "), F.col("line"), core).alias("abstract"))
+    return graph.descriptions(sections).withColumn("description", F.md5("description"))
 
 
 @query(f"SELECT 'Section' AS label, count(DISTINCT id) AS n FROM ({SECTIONS}) UNION ALL SELECT 'Document', count(*) FROM documents UNION ALL SELECT 'LegalSource', 1")
@@ -516,13 +585,17 @@ def activity_sessions(t: Table) -> DataFrame:
 
 @query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM orders GROUP BY 1")
 def latest_files(t: Table) -> DataFrame:
-    return t("orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"))
+    listed = t("orders").select("o_custkey", F.col("o_orderkey").alias("path"), F.struct("o_orderdate", "o_orderkey").alias("modified"))
+    return readers.newest(listed, "o_custkey").withColumnRenamed("path", "latest")
 
 
-@query("SELECT c_name AS name FROM customer WHERE c_custkey % 2 = 0 UNION SELECT s_name FROM supplier UNION SELECT c_name FROM customer WHERE c_custkey % 3 = 0")
+@query("SELECT name, max(origin) AS origin FROM (SELECT c_name AS name, CAST(NULL AS VARCHAR) AS origin FROM customer UNION ALL SELECT replace(c_name, 'Customer', 'Supplier'), 'x' FROM customer UNION ALL SELECT s_name, 'supplier' FROM supplier) GROUP BY 1")
 def catalog_union(t: Table) -> DataFrame:
-    c = t("customer")
-    return c.where("c_custkey % 2 = 0").select(F.col("c_name").alias("name")).unionByName(t("supplier").select(F.col("s_name").alias("name"))).unionByName(c.where("c_custkey % 3 = 0").select(F.col("c_name").alias("name"))).distinct()
+    """Three catalogs that overlap and have not all the same columns."""
+    c = t("customer").select(F.col("c_name").alias("name"))
+    renamed = t("customer").select(F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("name"), F.lit("x").alias("origin"))
+    suppliers = t("supplier").select(F.lit("supplier").alias("origin"), F.col("s_name").alias("name"))
+    return c.unionByName(renamed, allowMissingColumns=True).unionByName(suppliers).groupBy("name").agg(F.max("origin").alias("origin"))
 
 
 # parsers

@@ -40,8 +40,9 @@ def missing(expected: DataFrame, listed: DataFrame, name: str) -> DataFrame:
     return expected.join(listed.select(F.element_at(F.split("path", "/"), -1).alias(name)), name, "left_anti")
 
 
-def newest(listed: DataFrame) -> DataFrame:
-    return listed.agg(F.max_by("path", "modified").alias("path"))
+def newest(listed: DataFrame, *keys: str) -> DataFrame:
+    """The path that was modified last, of each key."""
+    return listed.groupBy(*keys).agg(F.max_by("path", "modified").alias("path"))
 
 
 def first_found(wanted: DataFrame, key: str, *catalogs: tuple[str, DataFrame]) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexgrove.functions import text as X
-from lexgrove.operators import graph, hierarchy, lines, matching, profile, scoring, statistics
+from lexgrove.operators import graph, hierarchy, lines, matching, profile, scoring, statistics, versioning
 from lexgrove.sources import readers, writers
 from lexgrove.streaming import inbox
 
@@ -135,11 +135,11 @@ def test_estimates(spark):
 
 
 def test_version_edges(spark):
-    schema = "doc_id long, art_seq int, art_id string, content string, is_placeholder boolean"
+    schema = "doc_id long, art_seq int, art_id string, content string, is_placeholder boolean"  # ids under five letters are discarded
     new = spark.createDataFrame([(1, 0, "Art 1", "same", False), (1, 1, "Art", "x", False), (1, 2, "Articolo 2", "changed", False), (1, 3, "Articolo 3", "new", False)], schema)
     old = spark.createDataFrame([(1, 0, "Articolo 2", "first", False), (1, 1, "ARTICOLO 2", "before", False), (1, 2, "Articolo 9", "gone", False)], schema)
-    got = {r.art_id: (r.verdict, r.old_art_seq) for r in matching.article_verdicts(new, old).collect()}
-    assert got == {"Art 1": ("Scartato", None), "Art": ("Scartato", None), "Articolo 2": ("Da Verificare", 1), "Articolo 3": ("Inserito", None), "Articolo 9": ("Rimosso", 2)}
+    got = {r.art_id: (r.verdict, r.old_art_seq) for r in versioning.article_verdicts(versioning.keyed(new), versioning.keyed(old)).collect()}
+    assert got == {"Art 1": ("Inserito", None), "Art": ("Scartato", None), "Articolo 2": ("Da Verificare", 1), "Articolo 3": ("Inserito", None), "Articolo 9": ("Rimosso", 2)}
 
 
 def test_first_match_and_scores(spark):
