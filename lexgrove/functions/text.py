@@ -19,6 +19,10 @@ LEGAL_SOURCES = (
     ("eba", "European Banking Authority"), ("uif", "UIF"),
 )
 NO_SOURCE = "Fonte non classificata"
+SOURCE_DESCRIPTIONS = {
+    "Gazzetta ufficiale": "Fonte normativa ufficiale UE/IT.", "Banca d'Italia": "Pubblicazione/atto di vigilanza Banca d'Italia.", "Boletin Oficial del Estado": "Fonte normativa ufficiale spagnola.",
+    "European Banking Authority": "Linea guida/regolamentazione EBA.", "UIF": "Indicazioni/atti Unita di Informazione Finanziaria.", NO_SOURCE: "Fonte non determinata automaticamente.",
+}
 PATTERN_WORDS = (
     ("Obbligo", ("deve", "devono", "obbligo", "ispezione", "vigilanza")), ("Divieto", ("vietato", "divieto", "non può", "precluso")),
     ("Condizione", ("qualora", "nel caso", "condizione", "controllo")), ("Termine temporale", ("termine", "decorrere")),
@@ -110,6 +114,17 @@ def legal_source(name: Column) -> Column:
     return reduce(lambda rest, rule: F.when(low.contains(rule[0]), rule[1]).otherwise(rest), reversed(LEGAL_SOURCES), F.lit(NO_SOURCE))
 
 
+def legal_source_description(name: Column) -> Column:
+    """What the source of a document's name is."""
+    return F.element_at(F.create_map(*(F.lit(x) for pair in SOURCE_DESCRIPTIONS.items() for x in pair)), legal_source(name))
+
+
+def reversed_map(pairs: Column) -> Column:
+    """A map from values to keys; of equal values the first key counts."""
+    first = F.aggregate(F.map_entries(pairs), F.create_map().cast("map<string,string>"), lambda m, e: F.when(F.map_contains_key(m, e["value"]), m).otherwise(F.map_concat(m, F.create_map(e["value"], e["key"]))))
+    return first
+
+
 def provision_type(c: Column) -> Column:
     """The first of the keywords, longest forms first, that begins the text."""
     upper = F.upper(c)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from lexgrove.functions.text import article_id
+
 SYNTHETIC = "0"
 
 
@@ -40,6 +42,81 @@ def rebuild_contents(flat: DataFrame) -> DataFrame:
     return subs.select("doc_id", "art_seq", F.concat(F.lit("\n"), F.array_join(F.transform("parts", lambda p: p["content"]), "\n")).alias("content"))
 
 
+NODE = "struct<level:string,par_seq:int,sub_seq:int,ref_seq:int,id:string,page:int,content:string,hash:string,ref_art:string,ref_par:string,ref_doc:string>"
+
+
+def _clean_hash(content: Column, stored: Column) -> Column:
+    """The stored hash, else that of the content's letters and digits."""
+    return F.coalesce(F.nullif(stored, F.lit("")), F.sha2(F.lower(F.regexp_replace(F.coalesce(content, F.lit("")), "[^A-Za-z0-9]", "")), 256))
+
+
+def _node(level: str, **parts: Column) -> Column:
+    names = ("par_seq", "sub_seq", "ref_seq", "id", "page", "content", "hash", "ref_art", "ref_par", "ref_doc")
+    return F.struct(F.lit(level).alias("level"), *(parts.get(n, F.lit(None)).alias(n) for n in names)).cast(NODE)
+
+
+def flatten_with_references(articles: DataFrame) -> DataFrame:
+    """Pre-order rows with references and pages: doc_id, art_seq and the fields of a node.
+
+    articles: doc_id, art_seq, art_id, page, content, hash, paragraphs array<struct<par_id, page, content, hash, subs array<struct<sub_id, page,
+    content, hash, refs array<struct<art, par, doc>>>>>>. A page that is missing is the one above; a missing hash is made from the content.
+    """
+
+    def references(s: Column, i: Column, j: Column, page: Column) -> Column:
+        return F.transform(s["refs"], lambda r, k: _node("Riferimenti", par_seq=i, sub_seq=j, ref_seq=k, id=s["sub_id"], page=page, ref_art=r["art"], ref_par=r["par"], ref_doc=r["doc"]))
+
+    def sub(s: Column, i: Column, j: Column, above: Column) -> Column:
+        page = F.coalesce(s["page"], above)
+        return F.concat(F.array(_node("Sottocomma", par_seq=i, sub_seq=j, id=s["sub_id"], page=page, content=s["content"], hash=_clean_hash(s["content"], s["hash"]))), F.coalesce(references(s, i, j, page), F.array().cast(f"array<{NODE}>")))
+
+    def paragraph(p: Column, i: Column) -> Column:
+        page = F.coalesce(p["page"], F.col("page"))
+        own = F.array(_node("Comma", par_seq=i, id=p["par_id"], page=page, content=p["content"], hash=_clean_hash(p["content"], p["hash"])))
+        return F.concat(own, F.coalesce(F.flatten(F.transform(p["subs"], lambda s, j: sub(s, i, j, page))), F.array().cast(f"array<{NODE}>")))
+
+    own = F.array(_node("Articolo", id=F.col("art_id"), page=F.col("page"), content=F.col("content"), hash=_clean_hash(F.col("content"), F.col("hash"))))
+    below = F.coalesce(F.flatten(F.transform("paragraphs", paragraph)), F.array().cast(f"array<{NODE}>"))
+    return articles.select("doc_id", "art_seq", F.explode(F.concat(own, below)).alias("n")).select("doc_id", "art_seq", "n.*")
+
+
+def _or_children(content: Column, children: Column) -> Column:
+    """The content unless it is blank, else the children's, each after a newline."""
+    joined = F.array_join(F.transform(children, lambda c: F.concat(F.lit("\n"), F.coalesce(c["content"], F.lit("")))), "")
+    return F.when(F.trim(F.coalesce(content, F.lit(""))) != "", content).otherwise(F.coalesce(joined, F.lit("")))
+
+
+def with_contents_from_below(articles: DataFrame) -> DataFrame:
+    """Blank contents of paragraphs and articles are rebuilt from their children, bottom up, in the row itself."""
+    paragraphs = F.transform("paragraphs", lambda p: p.withField("content", _or_children(p["content"], p["subs"])))
+    rebuilt = articles.withColumn("paragraphs", paragraphs)
+    return rebuilt.withColumn("content", _or_children(F.col("content"), F.col("paragraphs")))
+
+
+def post_order(flat: DataFrame) -> DataFrame:
+    """Rows of a flat tree with place: children before their parent, articles in their order."""
+    inner = F.coalesce("par_seq", F.lit(2**31 - 1))
+    return flat.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "art_seq").orderBy(inner, F.coalesce("sub_seq", F.lit(2**31 - 1)))) - 1)
+
+
+def hierarchy_path(*keys: Column) -> Column:
+    """The keys that aren't blank, in order."""
+    return F.filter(F.array(*keys), lambda k: k.isNotNull() & (F.trim(k) != ""))
+
+
+def consolidated(articles: DataFrame) -> DataFrame:
+    """Articles without a title take that of their first paragraph if it stands in brackets; ids are written alike."""
+    first = F.trim(F.get("paragraphs", F.lit(0))["content"])
+    bracketed = F.when(F.regexp_like(first, F.lit(r"(?s)^\(.*\)$")), first)
+    title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), bracketed, F.lit(""))
+    return articles.withColumns({"title": title, "art_id": article_id(F.col("art_id"))})
+
+
+def paragraph_chunks(articles: DataFrame) -> DataFrame:
+    """chunk_id, doc_id, art_id, content: one chunk for each paragraph, its id made of the places."""
+    p = articles.select("doc_id", "art_seq", "art_id", F.posexplode("paragraphs").alias("i", "p"))
+    return p.select(F.concat_ws("_", F.col("doc_id").cast("string"), F.col("art_seq").cast("string"), F.col("i").cast("string")).alias("chunk_id"), "doc_id", "art_id", F.col("p.content").alias("content"))
+
+
 def leaves(articles: DataFrame) -> DataFrame:
     """The finest unit of each paragraph: its sub-paragraphs, or itself if it has none."""
     p = articles.select("doc_id", "art_seq", F.posexplode("paragraphs").alias("par_seq", "p"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexgrove.functions.text import alnum_key, is_metadata, name_key
+from lexgrove.functions.text import alnum_key, cosine, is_metadata, name_key
 
 
 def last_match(left: DataFrame, right: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
@@ -42,6 +42,36 @@ def resolve_references(refs: DataFrame, articles: DataFrame) -> DataFrame:
     return left.join(right, ["doc_id", "art", "par"], "left").select(*refs.columns, "target", F.col("target").isNotNull().alias("found"))
 
 
+def amendment_targets(refs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each reference (ref_id, doc_id, n_art, n_par) with the first row that it amends: row_id, target.
+
+    rows: doc_id, seq, row_id, level, n_art, n_par, par_content, art_content, content. A reference to a paragraph needs a row with
+    an equal one; without a paragraph only the article's own row counts. The target is the first content that isn't blank: paragraph, article, any.
+    """
+    text = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit(""))
+    keyed = lambda df: df.withColumns({"_art": text("n_art"), "_par": text("n_par")})
+    own = keyed(rows).where("_art <> '' and ((level = 'article') = (_par = ''))")
+    content = F.coalesce(*(F.when(F.trim(c) != "", F.col(c)) for c in ("par_content", "art_content", "content")))
+    first = own.groupBy("doc_id", "_art", "_par").agg(F.min_by(F.struct("row_id", content.alias("target")), "seq").alias("hit"))
+    return keyed(refs).join(first, ["doc_id", "_art", "_par"], "left").select(*refs.columns, "hit.row_id", "hit.target")
+
+
+def best_vectors(left: DataFrame, right: DataFrame, key: str, least: float | None = None) -> DataFrame:
+    """Each left row (key, left_id, vector) with the right row of its key that is nearest by cosine: right_id, cosine; from `least` on, if given."""
+    pairs = left.select(key, "left_id", F.col("vector").alias("_a")).join(right.select(key, "right_id", F.col("vector").alias("_b")), key)
+    scored = pairs.select(key, "left_id", "right_id", cosine(F.col("_a"), F.col("_b")).alias("cosine"))
+    best = scored.groupBy(key, "left_id").agg(F.max_by(F.struct("right_id", "cosine"), F.struct("cosine", -F.col("right_id"))).alias("b")).select(key, "left_id", "b.right_id", "b.cosine")
+    return best if least is None else best.where(F.col("cosine") >= least)
+
+
+def not_implemented_rows(articles: DataFrame, results: DataFrame, article_number: Column, result_number: Column) -> DataFrame:
+    """Rows of articles in no result and of their paragraphs. articles: art_id, title, content, paragraphs array<struct<par_id, content>>."""
+    open_ = not_implemented(articles, results, article_number, result_number)
+    own = open_.select(F.lit("Articolo").alias("level"), "art_id", "title", F.lit(None).cast("string").alias("par_id"), "content")
+    below = open_.select("art_id", "title", F.explode("paragraphs").alias("p")).select(F.lit("Comma").alias("level"), "art_id", "title", "p.par_id", "p.content")
+    return own.unionByName(below)
+
+
 def scored_pairs(pairs: DataFrame, score: Column, title_a: str, title_b: str) -> DataFrame:
     """Scores of pairs; those with a title about the document itself get 0."""
     return pairs.withColumn("score", F.when(is_metadata(F.col(title_a)) | is_metadata(F.col(title_b)), F.lit(0)).otherwise(score))

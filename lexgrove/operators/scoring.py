@@ -37,3 +37,43 @@ def score_pairs(pairs: DataFrame, left: str, right: str, scorer: Scorer = overla
             yield pdf.assign(score=[s for i in range(0, len(items), batch) for s in tried(items[i : i + batch])])
 
     return pairs.mapInPandas(run, pairs.withColumn("score", F.lit(0.0)).schema)
+
+
+Model = Callable[[list[str]], list[dict[str, str] | None]]
+
+
+def answers(rows: DataFrame, prompt: str, fields: list[str], model: Model, skip: str | None = None, most: int = 12_000, batch: int = 16, retries: int = 2) -> DataFrame:
+    """rows with the fields that a model gives for their prompt, cut to so many characters; null where it fails or gives none.
+
+    Rows whose column `skip` isn't blank are passed by with null fields, so that a part that is already enriched costs no call.
+    """
+    schema = rows.schema
+    for f in fields:
+        schema = schema.add(f, "string")
+
+    def tried(prompts: list[str]) -> list[dict[str, str] | None]:
+        for _ in range(retries):
+            try:
+                return model(prompts)
+            except Exception:  # whatever the model's client raises
+                continue
+        return [None] if len(prompts) == 1 else [a for p in prompts for a in tried([p])]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            open_ = [i for i in range(len(pdf)) if not (skip and isinstance(pdf[skip].iloc[i], str) and pdf[skip].iloc[i].strip())]
+            found: list[dict[str, str] | None] = [None] * len(pdf)
+            for low in range(0, len(open_), batch):
+                part = open_[low : low + batch]
+                for i, answer in zip(part, tried([(pdf[prompt].iloc[i] or "")[:most] for i in part]), strict=True):
+                    found[i] = answer
+            yield pdf.assign(**{f: [(a or {}).get(f) for a in found] for f in fields})
+
+    return rows.mapInPandas(run, schema)
+
+
+def sections_prompt(sections: DataFrame, each: int = 400, most: int = 12_000) -> DataFrame:
+    """doc_id, prompt: the sections of each document in order, each cut to so many characters, up to a length in all."""
+    own = F.array_sort(F.collect_list(F.struct("seq", F.substring("content", 1, each).alias("content"))))
+    joined = F.array_join(F.transform(own, lambda x: F.concat(F.lit("["), x["seq"].cast("string"), F.lit("] "), F.coalesce(x["content"], F.lit("")))), "\n")
+    return sections.groupBy("doc_id").agg(F.substring(joined, 1, most).alias("prompt"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexgrove.functions import text as X
-from lexgrove.operators import document_parsers, hierarchy, layout, lines, matching, parsers, shapes, versioning
+from lexgrove.operators import document_parsers, hierarchy, layout, lines, matching, parsers, scoring, shapes, versioning
 from lexgrove.plans.catalog import CLEAN, LINES, Table, query
 
 # Lines of documents on pages of ten lines, each 80 high; a page is 800 high.
@@ -560,3 +560,117 @@ def names_and_dates(t: Table) -> DataFrame:
 def vectors_or_computed(t: Table) -> DataFrame:
     stored = F.when(F.col("vec_id") % 3 != 0, F.col("embedding")).otherwise(F.array().cast("array<float>"))
     return t("embeddings").select("vec_id", F.size(shapes.vector_or(F.array(F.lit(1.0).cast("float")), stored)).cast("long").alias("dims"))
+
+
+# trees with references, targets, vectors, jobs
+
+
+def _pages(t: Table) -> DataFrame:
+    """Line items as articles: pages and hashes are there or not by the line's number."""
+    e = F.expr
+    refs = e("case when l_linenumber % 2 = 0 then array(named_struct('art', 'a1', 'par', l_returnflag, 'doc', 'd1'), named_struct('art', 'a2', 'par', cast(null as string), 'doc', 'd2')) else cast(array() as array<struct<art:string,par:string,doc:string>>) end")
+    rows = t("lineitem").withColumn("refs", refs)
+    subs = e("array(named_struct('sub_id', 's0', 'page', case when l_linenumber % 3 = 0 then cast(7 as int) end, 'content', l_linestatus, 'hash', '', 'refs', refs))")
+    paragraphs = e("array(named_struct('par_id', 'p0', 'page', case when l_linenumber % 4 = 1 then cast(5 as int) end, 'content', case when l_linenumber % 2 = 0 then ' ' else l_returnflag end, 'hash', case when l_linenumber % 5 = 0 then 'stored' end, 'subs', subs), named_struct('par_id', 'p1', 'page', cast(null as int), 'content', 'own', 'hash', cast(null as string), 'subs', slice(subs, 1, 0)))")
+    rows = rows.withColumn("subs", subs).withColumn("paragraphs", paragraphs)
+    key = e("l_orderkey * 1000000 + l_partkey * 100 + l_suppkey % 100").alias("doc_id")
+    return rows.select(key, F.col("l_linenumber").alias("art_seq"), F.concat(F.lit("art. "), "l_linenumber").alias("art_id"), F.lit(2).alias("page"), e("case when l_linenumber % 3 = 1 then '' else l_linestatus end").alias("content"), F.lit(None).cast("string").alias("hash"), "paragraphs")
+
+
+KEYED = "SELECT *, l_orderkey * 1000000 + l_partkey * 100 + l_suppkey % 100 AS doc_id FROM lineitem"
+
+
+@query(
+    f"""WITH l AS (SELECT *, coalesce(CASE WHEN l_linenumber % 4 = 1 THEN 5 END, 2) AS pp FROM ({KEYED})), s AS (SELECT *, coalesce(CASE WHEN l_linenumber % 3 = 0 THEN 7 END, pp) AS sp FROM l)
+    SELECT doc_id, l_linenumber AS art_seq, 'Articolo' AS level, CAST(NULL AS INTEGER) AS par_seq, CAST(NULL AS INTEGER) AS ref_seq, 2 AS page, sha256(lower(CASE WHEN l_linenumber % 3 = 1 THEN '' ELSE l_linestatus END)) AS hash, CAST(NULL AS VARCHAR) AS ref_par FROM l
+    UNION ALL SELECT doc_id, l_linenumber, 'Comma', 0, NULL, pp, CASE WHEN l_linenumber % 5 = 0 THEN 'stored' ELSE sha256(lower(CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE l_returnflag END)) END, NULL FROM l UNION ALL SELECT doc_id, l_linenumber, 'Comma', 1, NULL, 2, sha256('own'), NULL FROM l
+    UNION ALL SELECT doc_id, l_linenumber, 'Sottocomma', 0, NULL, sp, sha256(lower(l_linestatus)), NULL FROM s
+    UNION ALL SELECT doc_id, l_linenumber, 'Riferimenti', 0, CAST(k AS INTEGER), sp, NULL, CASE k WHEN 0 THEN l_returnflag END FROM s, (SELECT unnest([0, 1]) AS k) WHERE l_linenumber % 2 = 0"""
+)
+def flatten_references(t: Table) -> DataFrame:
+    return hierarchy.flatten_with_references(_pages(t)).select("doc_id", "art_seq", "level", "par_seq", "ref_seq", "page", "hash", "ref_par")
+
+
+@query(
+    f"""SELECT doc_id, l_linenumber AS art_seq, CASE WHEN l_linenumber % 3 = 1 THEN chr(10) || p || chr(10) || 'own' ELSE l_linestatus END AS content, p AS first_paragraph FROM (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN chr(10) || l_linestatus ELSE l_returnflag END AS p FROM ({KEYED}))"""
+)
+def rebuilt_when_blank(t: Table) -> DataFrame:
+    rebuilt = hierarchy.with_contents_from_below(_pages(t))
+    return rebuilt.select("doc_id", "art_seq", "content", F.get("paragraphs", F.lit(0))["content"].alias("first_paragraph"))
+
+
+@query(f"SELECT doc_id || '_' || l_linenumber || '_' || k AS chunk_id, doc_id, 'Articolo' || l_linenumber AS art_id, CASE WHEN k = 1 THEN 'own' WHEN l_linenumber % 2 = 0 THEN ' ' ELSE l_returnflag END AS content FROM ({KEYED}), (SELECT unnest([0, 1]) AS k)")
+def paragraph_chunks(t: Table) -> DataFrame:
+    return hierarchy.paragraph_chunks(hierarchy.consolidated(_pages(t).withColumn("title", F.lit(""))))
+
+
+@query("SELECT doc_id, par_seq, sub_seq, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(par_seq, 99), coalesce(sub_seq, 99)) - 1 AS INTEGER) AS place FROM (SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber < 7 THEN l_linenumber // 3 END AS par_seq, CASE WHEN l_linenumber < 7 AND l_linenumber % 3 > 0 THEN l_linenumber % 3 END AS sub_seq FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem))")
+def post_orders(t: Table) -> DataFrame:
+    k = F.col("l_linenumber")
+    flat = t("lineitem").select("l_orderkey", k).distinct().select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("art_seq"), F.when(k < 7, F.floor(k / 3).cast("int")).alias("par_seq"), F.when((k < 7) & (k % 3 > 0), k % 3).alias("sub_seq"))
+    return hierarchy.post_order(flat).drop("art_seq")
+
+
+@query(
+    """WITH r AS (SELECT o_orderkey AS seq, o_custkey % 10 AS doc_id, CAST(o_orderkey % 7 AS VARCHAR) AS a, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 3 AS VARCHAR) ELSE '' END AS p, o_orderstatus AS s FROM orders),
+    f AS (SELECT doc_id, a, p, min(seq) AS seq FROM r GROUP BY 1, 2, 3)
+    SELECT c_custkey AS ref_id, f.seq AS row_id, CASE WHEN f.p = '' THEN 'article ' || f.seq WHEN f.seq % 5 = 0 THEN 'article ' || f.seq ELSE 'paragraph ' || f.seq END AS target FROM (SELECT c_custkey, c_custkey % 10 AS doc_id, CAST(c_custkey % 9 AS VARCHAR) AS a, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey % 4 AS VARCHAR) ELSE '' END AS p FROM customer) c LEFT JOIN f ON f.doc_id = c.doc_id AND f.a = c.a AND f.p = c.p"""
+)
+def amendment_targets(t: Table) -> DataFrame:
+    o, c = F.col("o_orderkey"), F.col("c_custkey")
+    paragraph = o % 2 == 0
+    rows = t("orders").select(
+        o.alias("seq"), o.alias("row_id"), (F.col("o_custkey") % 10).alias("doc_id"), F.when(paragraph, "paragraph").otherwise("article").alias("level"), (o % 7).alias("n_art"), F.when(paragraph, (o % 3).cast("string")).alias("n_par"),
+        F.when(paragraph & (o % 5 != 0), F.concat(F.lit("paragraph "), o)).alias("par_content"), F.concat(F.lit("article "), o).alias("art_content"), F.lit("any").alias("content"),
+    )
+    refs = t("customer").select(c.alias("ref_id"), (c % 10).alias("doc_id"), (c % 9).alias("n_art"), F.when(c % 2 == 0, (c % 4).cast("string")).alias("n_par"))
+    return matching.amendment_targets(refs, rows).select("ref_id", "row_id", "target")
+
+
+@query(
+    """WITH v AS (SELECT vec_id, vec_id % 10 AS g, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.g, a.vec_id AS left_id, b.vec_id AS right_id, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) + 1e-9) AS c FROM v a JOIN v b ON a.g = b.g AND a.vec_id % 3 = 0 AND b.vec_id % 3 = 1)
+    SELECT left_id, right_id, round(c, 9) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY c DESC, right_id) AS r FROM p) WHERE r = 1 AND c >= 0.1"""
+)
+def best_vectors(t: Table) -> DataFrame:
+    """Vectors whose id leaves 0 against those that leave 1, in ten groups; all of both are compared within a group."""
+    side = lambda k, name: t("embeddings").where(F.col("vec_id") % 3 == k).select((F.col("vec_id") % 10).alias("g"), F.col("vec_id").alias(name), F.col("embedding").alias("vector"))
+    return matching.best_vectors(side(0, "left_id"), side(1, "right_id"), "g", 0.1).select("left_id", "right_id", F.round("cosine", 9).alias("cosine"))
+
+
+@query(
+    """WITH a AS (SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F'))
+    SELECT 'Articolo' AS level, 'Art. ' || c_custkey AS art_id, CAST(NULL AS VARCHAR) AS par_id, c_name AS content FROM a UNION ALL SELECT 'Comma', 'Art. ' || c_custkey, 'p' || k, 'c' || k FROM a, (SELECT unnest([1, 2]) AS k)"""
+)
+def not_implemented_rows(t: Table) -> DataFrame:
+    paragraphs = F.expr("array(named_struct('par_id', 'p1', 'content', 'c1'), named_struct('par_id', 'p2', 'content', 'c2'))")
+    articles = t("customer").select(F.concat(F.lit("Art. "), "c_custkey").alias("art_id"), F.lit("t").alias("title"), F.col("c_name").alias("content"), paragraphs.alias("paragraphs"))
+    results = t("orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("Articolo "), "o_custkey").alias("name"))
+    number = lambda c: X.first_integer(F.col(c), -1)
+    return matching.not_implemented_rows(articles, results, number("art_id"), number("name")).drop("title")
+
+
+@query("SELECT o_custkey AS doc_id, CASE WHEN o_custkey % 2 = 0 THEN 'Fonte normativa ufficiale spagnola.' ELSE 'Fonte non determinata automaticamente.' END AS described, min(o_orderkey) AS first_key FROM orders GROUP BY 1")
+def described_sources(t: Table) -> DataFrame:
+    """The description of a source, and the first key of a map turned round whose values are all equal."""
+    own = t("orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
+    pairs = F.map_from_entries(F.transform("keys", lambda k: F.struct(k.cast("string").alias("k"), F.lit("same").alias("v"))))
+    name = F.when(F.col("doc_id") % 2 == 0, "BOE 12").otherwise("other")
+    return own.select("doc_id", X.legal_source_description(name).alias("described"), F.element_at(X.reversed_map(pairs), "same").cast("bigint").alias("first_key"))
+
+
+@query("SELECT user_id AS job_id, event_id FROM (SELECT *, max(ts) OVER () AS latest FROM events) WHERE NOT (event_id % 4 IN (0, 1) AND epoch(latest) - epoch(ts) > 864000)")
+def kept_jobs(t: Table) -> DataFrame:
+    """Jobs that ended more than ten days before the last event are gone."""
+    from lexgrove.streaming import inbox
+
+    events = t("events")
+    k = F.col("event_id") % 4
+    states = events.select(F.col("user_id").alias("job_id"), "event_id", F.when(k == 0, "Completed").when(k == 1, "Failed").otherwise("Running").alias("status"), F.col("ts").alias("updated_at"))
+    latest = events.agg(F.max("ts")).first()[0]
+    return inbox.kept_jobs(states, F.lit(latest), 864_000).select("job_id", "event_id")
+
+
+@query(f"SELECT doc_id, md5(substr(string_agg('[' || seq || '] ' || substr(line, 1, 40), chr(10) ORDER BY seq), 1, 500)) AS prompt FROM ({LINES}) GROUP BY 1")
+def section_prompts(t: Table) -> DataFrame:
+    found = lines.lines_of(t("documents")).select("doc_id", "seq", F.col("line").alias("content"))
+    return scoring.sections_prompt(found, 40, 500).withColumn("prompt", F.md5("prompt"))

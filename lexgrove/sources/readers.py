@@ -21,6 +21,11 @@ def requirements(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.explode("requirements.requirement").alias("requirement"))
 
 
+def catalog(spark: SparkSession, path: str, schema: str, rows: str) -> DataFrame:
+    """The rows of a catalog file: an array of structs at a path of fields, as "data.scopes"."""
+    return spark.read.schema(schema).json(path, multiLine=True).select(F.inline(F.col(rows)))
+
+
 def stage(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:
     """A JSON stage file; rows without a required field are an error."""
     df = spark.read.schema(schema).json(path, multiLine=True)

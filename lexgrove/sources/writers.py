@@ -23,6 +23,22 @@ def stage(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(f"{path}/json")
 
 
+def merged(parsed: DataFrame, enriched: DataFrame, key: list[str]) -> DataFrame:
+    """A parser's parts with the columns that enrichment added; parts that weren't enriched have null there. Enriched values win."""
+    own = [c for c in enriched.columns if c not in key]
+    joined = parsed.join(enriched.select(*key, *(F.col(c).alias(f"_{c}") for c in own)), key, "left")
+    kept = [F.coalesce(f"_{c}", c).alias(c) if c in own else F.col(c) for c in parsed.columns]
+    return joined.select(*kept, *(F.col(f"_{c}").alias(c) for c in own if c not in parsed.columns))
+
+
+def publish(df: DataFrame, folder: str, name: str, hash_: str) -> None:
+    """A result under its hash and under its plain name, as JSON, and a row of the map from one to the other."""
+    for at in dict.fromkeys((hash_, name)):
+        df.write.mode("overwrite").json(f"{folder}/{at}.json")
+    names = df.sparkSession.createDataFrame([(hash_, name)], "hash string, name string")
+    names.write.mode("append").parquet(f"{folder}/names")
+
+
 def printable(df: DataFrame) -> DataFrame:
     """Strings without control characters."""
     return df.select(*(without_controls(F.col(f.name)).alias(f.name) if isinstance(f.dataType, StringType) else F.col(f.name) for f in df.schema.fields))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,9 +13,23 @@ FILE = "path string, modificationTime timestamp, length long, content binary"
 STATES = ("Pending", "Running", "Completed", "Failed")
 
 
-def incoming(spark: SparkSession, folder: str, pattern: str = "*.txt", files: int = 100) -> DataFrame:
-    """New files of a folder; a checkpoint remembers which were seen."""
-    return spark.readStream.format("binaryFile").schema(FILE).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files).load(folder)
+def incoming(spark: SparkSession, folder: str, pattern: str = "*.txt", files: int = 100, archive: str | None = None) -> DataFrame:
+    """New files of a folder; a checkpoint remembers which were seen. Files that are done move to the archive, if one is given."""
+    stream = spark.readStream.format("binaryFile").schema(FILE).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files)
+    if archive:
+        stream = stream.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    return stream.load(folder)
+
+
+def outcomes(batch: DataFrame, ok: Column) -> DataFrame:
+    """path, folder: where each file of a batch belongs, done or failed."""
+    return batch.select("path", F.when(F.coalesce(ok, F.lit(False)), "done").otherwise("failed").alias("folder"))
+
+
+def kept_jobs(states: DataFrame, now: Column, seconds: float) -> DataFrame:
+    """Jobs except those that ended longer ago than the limit."""
+    ended = F.col("status").isin(*STATES[2:]) & ((F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("updated_at").cast("timestamp"))) / 1e6 > seconds)
+    return states.where(~F.coalesce(ended, F.lit(False)))
 
 
 def process(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, seconds: int | None = 10) -> StreamingQuery:

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexgrove.functions import text as X
-from lexgrove.operators import document_parsers, graph, hierarchy, layout, lines, matching, profile, shapes, versioning
+from lexgrove.operators import document_parsers, graph, hierarchy, layout, lines, matching, profile, scoring, shapes, versioning
+from lexgrove.sources import readers, writers
+from lexgrove.streaming import inbox
 
 
 def rows(df, *order):
@@ -187,3 +189,40 @@ def test_page_rows(spark):
     sampled = spark.range(1).select(*(layout.sampled_pages(F.lit(n)).alias(f"n{n}") for n in (0, 1, 15, 16, 40))).first()
     assert (sampled.n0, sampled.n1, len(sampled.n15), sampled.n16, sampled.n40[15:]) == ([], [0], 15, list(range(15)), [19, 20, 21])
     assert spark.range(1).select(X.now_text()).first()[0].endswith("Z")
+
+
+def test_model_answers(spark):
+    def model(prompts):
+        if any("bad" in p for p in prompts):
+            raise RuntimeError("no answer")
+        return [{"abstract": p.upper()} if p else None for p in prompts]
+
+    df = spark.createDataFrame([(1, "a text", None), (2, "bad", None), (3, "done", "already"), (4, None, " "), (5, "x" * 50, None)], "id int, prompt string, abstract_before string").coalesce(1)
+    got = {r.id: (r.abstract, r.motive) for r in scoring.answers(df, "prompt", ["abstract", "motive"], model, skip="abstract_before", most=10).collect()}
+    assert got == {1: ("A TEXT", None), 2: (None, None), 3: (None, None), 4: (None, None), 5: ("X" * 10, None)}
+
+
+def test_files_of_results(spark, tmp_path):
+    parsed = spark.createDataFrame([(1, 1, "a", None), (1, 2, "b", "old")], "doc_id int, part_id int, content string, abstract string")
+    enriched = spark.createDataFrame([(1, 1, "new", "m")], "doc_id int, part_id int, abstract string, meaning string")
+    assert rows(writers.merged(parsed, enriched, ["doc_id", "part_id"]), "part_id") == [(1, 1, "a", "new", "m"), (1, 2, "b", "old", None)]
+    writers.publish(parsed, str(tmp_path / "r"), "plain", "hash1")
+    assert spark.read.json(f"{tmp_path}/r/hash1.json").count() == spark.read.json(f"{tmp_path}/r/plain.json").count() == 2
+    assert rows(spark.read.parquet(f"{tmp_path}/r/names")) == [("hash1", "plain")]
+    (tmp_path / "c.json").write_text('{"data": {"scopes": [{"name": "x", "total": 2, "files": [{"name": "f", "distance": 0.5}]}]}}')
+    found = readers.catalog(spark, f"{tmp_path}/c.json", "data struct<scopes: array<struct<name: string, total: int, files: array<struct<name: string, distance: double>>>>>", "data.scopes")
+    assert found.select("name", "total", F.col("files")[0]["name"]).collect()[0] == ("x", 2, "f")
+
+
+def test_files_move_when_done(spark, tmp_path):
+    box, done, out = tmp_path / "in", tmp_path / "done", str(tmp_path / "out")
+    box.mkdir()
+
+    def handle(batch, _):
+        inbox.outcomes(batch, F.col("length") > 2).write.mode("append").parquet(out)
+
+    for i in range(4):
+        (box / f"{i}.txt").write_text("x" * i)
+        inbox.process(inbox.incoming(spark, str(box), archive=str(done)), handle, str(tmp_path / "check"), None).awaitTermination(120)
+    assert sorted(r.folder for r in spark.read.parquet(out).collect()) == ["done", "failed", "failed", "failed"]
+    assert len(list(done.rglob("*.txt"))) >= 1
