@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 Scorer = Callable[[list[tuple[str, str]]], list[float]]
 
@@ -47,9 +48,7 @@ def answers(rows: DataFrame, prompt: str, fields: list[str], model: Model, skip:
 
     Rows whose column `skip` isn't blank are passed by with null fields, so that a part that is already enriched costs no call.
     """
-    schema = rows.schema
-    for f in fields:
-        schema = schema.add(f, "string")
+    schema = StructType([*rows.schema.fields, *(StructField(f, StringType()) for f in fields)])
 
     def tried(prompts: list[str]) -> list[dict[str, str] | None]:
         for _ in range(retries):

@@ -219,10 +219,10 @@ def test_files_move_when_done(spark, tmp_path):
     box.mkdir()
 
     def handle(batch, _):
-        inbox.outcomes(batch, F.col("length") > 2).write.mode("append").parquet(out)
+        inbox.outcomes(batch, F.col("length") > 3).write.mode("append").parquet(out)
 
     for i in range(4):
-        (box / f"{i}.txt").write_text("x" * i)
+        (box / f"{i}.txt").write_text("x" * (i + 1))
         inbox.process(inbox.incoming(spark, str(box), archive=str(done)), handle, str(tmp_path / "check"), None).awaitTermination(120)
     assert sorted(r.folder for r in spark.read.parquet(out).collect()) == ["done", "failed", "failed", "failed"]
     assert len(list(done.rglob("*.txt"))) >= 1
