@@ -16,6 +16,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
 #: Entries of a worker's word cache; it starts anew beyond that.
 CACHE = 300_000
-#: Pieces of one length that one window task ranks.
-RANKED = 100_000
+#: Pieces of one length that are ranked together, about, or the square root of their number if that is more.
+RANKED = 1_000
 
 
 class _Uneven(Exception):
@@ -188,8 +189,8 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
     """Add sequence_id and offset to a stored table of pieces; it is read twice."""
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = best_fit_decreasing(histogram, capacity)
-    buckets = max(1, -(-max(histogram.values(), default=1) // RANKED))
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    buckets = [-(-n // max(RANKED, isqrt(n))) for n in (histogram.get(length, 1) for length in range(1, capacity + 1))]
+    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(F.lit(buckets), (F.col("length") - 1).cast("int"))).cast("int"))
     by_length = Window.partitionBy("length").orderBy("bucket")
     before = keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).select("length", "bucket", (F.sum("n").over(by_length) - F.col("n")).alias("before"))
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
