@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexgrove.functions import text as X
@@ -13,22 +15,25 @@ from lexgrove.plans.catalog import CLEAN, LINES, Table, query
 PAGED = f"SELECT *, seq // 10 + 1 AS page, (seq % 10) * 80.0 + 20 AS y0, 800.0 AS page_height, length(line) % 7 + 7.5 AS size, length(line) % 5 = 0 AS bold FROM ({LINES})"
 
 
-def _paged(t: Table, change=None) -> DataFrame:
+def _paged(t: Table, change: Callable[[], Column] | None = None) -> DataFrame:
     found = lines.lines_of(t("documents"))
-    if change is not None:
-        found = found.withColumn("line", change)
+    if change:
+        found = found.withColumn("line", change())
     seq = F.col("seq")
     return found.withColumns({"page": (F.floor(seq / 10) + 1).cast("int"), "y0": (seq % 10) * 80.0 + 20, "page_height": F.lit(800.0), "size": F.length("line") % 7 + 7.5, "bold": F.length("line") % 5 == 0})
 
 
-def _put(pairs: list[tuple[str, str]]) -> tuple[str, F.Column]:
-    """Lines of given texts where a condition on seq holds, in SQL and as a column."""
-    sql = "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in pairs) + " ELSE line END"
-    column = None
-    for c, v in pairs:
-        condition, value = F.expr(c), F.expr(v.replace("//", "div"))
-        column = F.when(condition, value) if column is None else column.when(condition, value)
-    return sql, column.otherwise(F.col("line"))
+def _put(pairs: list[tuple[str, str]]) -> tuple[str, Callable[[], Column]]:
+    """Lines of given texts where a condition on seq holds, in SQL and as a column, which is made when a session is there."""
+
+    def column() -> Column:
+        out = None
+        for c, v in pairs:
+            condition, value = F.expr(c), F.expr(v.replace("//", "div"))
+            out = F.when(condition, value) if out is None else out.when(condition, value)
+        return out.otherwise(F.col("line"))
+
+    return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in pairs) + " ELSE line END", column
 
 
 def _with(put: str) -> str:
