@@ -5,9 +5,11 @@ Cut into fragments, the order cuts every document's set; pairs of candidates get
 fragment counted apart, and the sum over fragments decides the pair exactly.
 
 Copies with equal sets are one class first. Two linked sets share one of their rarest n-grams, so
-classes meet in buckets of equal rare n-grams. A bucket's classes are first paired with its hub alone,
-the class whose rare n-grams are the most shared; what these links leave in several components is
-paired in a last round. So a large group of near copies costs about as many pairs as it has members,
+classes meet in buckets of equal rare n-grams. N-grams that no other set has come first in the order and can't be
+in an overlap, so places in the order rule out most of those that only share a template. A bucket's classes are first paired with its hub alone,
+the class whose rare n-grams are the most shared; while the links leave many pairs between components, more rounds
+follow with other hubs, as long as they take enough of these pairs away. What remains in several components is
+paired in a last round, within bands of size. So a large group of near copies costs about as many pairs as it has members,
 and no link between components is lost.
 
 Defined results: a null or blank text has an empty set and is linked with nothing, itself its
@@ -18,19 +20,25 @@ gives no rows. Only A-Z are lower-cased; words are runs of characters that aren'
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import WordHashes, mixed, sequences
-from .scratch import materialize, ranges_for
-
-#: Cells of the count sketch, as a power of two: one byte of each is broadcast, 16 MB whatever the corpus.
-ORDER_BITS = 24
+from .scratch import estimated_bytes, materialize, stored
+
+#: Cells of the count sketch at most, as a power of two, and ranges of them: one byte of each cell is broadcast, 16 MB at most, as the driver holds a few copies.
+ORDER_BITS, RANGES = 24, 512
+#: Estimated bytes of input whose counts one task merges, about.
+MERGED = 32 << 30
+#: Pairs between components for each row that are left to the last round.
+LEFT_PAIRS = 8
 #: n-grams that a task counts before it passes the counts on.
 HELD = 3_000_000
 FRAGMENTS = 4
@@ -51,13 +59,24 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
 
 
-def frequency_classes(texts: DataFrame, size: int, bits: int = ORDER_BITS) -> np.ndarray:
-    """By cell of the hash the number of binary digits of its count."""
-    ranges = min(ranges_for(texts), 1 << bits)
+def _packed(values: np.ndarray) -> bytes:
+    return zlib.compress(values.astype("<u4").tobytes(), 1)
+
+
+def _unpacked(data: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data.as_py()), "<u4")
+
+
+def frequency_classes(texts: DataFrame, size: int, bits: int = ORDER_BITS) -> tuple[np.ndarray, int]:
+    """By cell of the hash the number of binary digits of its count, for as many cells as there are n-grams, 2^bits at most; and their power of two."""
+    ranges = min(RANGES, 1 << bits)
     per_range = (1 << bits) // ranges
+    salts = -(-estimated_bytes(texts) // MERGED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, count = WordHashes(), [], 0
+        context = TaskContext.get()
+        salt = context.partitionId() % salts if context else 0
 
         def emit() -> pa.RecordBatch:
             nonlocal held, count
@@ -65,8 +84,8 @@ def frequency_classes(texts: DataFrame, size: int, bits: int = ORDER_BITS) -> np
             cuts = np.searchsorted(cells, np.arange(ranges + 1) * per_range)
             parts = [(r, slice(a, b)) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
             held, count = [], 0
-            packed = lambda x: zlib.compress(x.astype("<u4").tobytes(), 1)
-            return pa.record_batch([pa.array([r for r, _ in parts], pa.int32()), pa.array([packed(np.diff(cells[p] - r * per_range, prepend=0)) for r, p in parts], pa.binary()), pa.array([packed(n[p]) for _, p in parts], pa.binary())], names=["range", "cells", "counts"])
+            columns = [pa.array([r for r, _ in parts], pa.int32()), pa.array([salt] * len(parts), pa.int32()), pa.array([_packed(np.diff(cells[p] - r * per_range, prepend=0)) for r, p in parts], pa.binary()), pa.array([_packed(n[p]) for _, p in parts], pa.binary())]
+            return pa.record_batch(columns, names=["range", "salt", "cells", "counts"])
 
         for batch in batches:
             for text in batch.column(0):
@@ -77,20 +96,35 @@ def frequency_classes(texts: DataFrame, size: int, bits: int = ORDER_BITS) -> np
         if held:
             yield emit()
 
-    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(per_range, np.float64)
         for batch in batches:
             for cells, counts in zip(batch.column("cells"), batch.column("counts"), strict=True):
-                at = np.cumsum(np.frombuffer(zlib.decompress(cells.as_py()), "<u4").astype(np.int64))
-                total[at] += np.frombuffer(zlib.decompress(counts.as_py()), "<u4")
+                total[np.cumsum(_unpacked(cells).astype(np.int64))] += _unpacked(counts)
+        return total
+
+    def partial(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = summed(batches)
+        at = np.flatnonzero(total)
+        row = (_packed(np.diff(at, prepend=0)), _packed(np.minimum(total[at], 2**32 - 1)))
+        yield pa.record_batch([pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([v], pa.binary()) for v in row], names=["range", "salt", "cells", "counts"])
+
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = summed(batches)
         digits = np.frexp(total)[1].astype(np.uint8)
-        yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(digits.tobytes(), 1)], pa.binary())], names=["range", "digits"])
+        yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(digits.tobytes(), 1)], pa.binary()), pa.array([float(total.sum())])], names=["range", "digits", "total"])
 
-    parts = texts.select("text").mapInArrow(run, "range int, cells binary, counts binary")
-    classes = np.zeros(1 << bits, np.uint8)
-    for r in parts.groupBy("range").applyInArrow(merge, "range int, digits binary").toArrow().to_pylist():  # of fixed size
-        classes[r["range"] * per_range : (r["range"] + 1) * per_range] = np.frombuffer(zlib.decompress(r["digits"]), np.uint8)
-    return classes
+    fields = "range int, salt int, cells binary, counts binary"
+    parts = texts.select("text").mapInArrow(run, fields)
+    if salts > 1:
+        parts = parts.groupBy("range", "salt").applyInArrow(partial, fields)
+    classes, grams = np.zeros(1 << bits, np.uint8), 0.0
+    merged = parts.groupBy("range").applyInArrow(merge, "range int, digits binary, total double").toArrow()  # of fixed size
+    for r, digits, total in zip(merged["range"].to_pylist(), merged["digits"], merged["total"].to_pylist(), strict=True):
+        classes[r * per_range : (r + 1) * per_range] = np.frombuffer(zlib.decompress(digits.as_py()), np.uint8)
+        grams += total
+    wanted = min(bits, max(int(grams).bit_length(), 8))
+    return classes.reshape(1 << wanted, -1).max(axis=1), wanted
 
 
 class _Order:
@@ -199,7 +233,7 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, order_bits
     """id, text_hash, n, k, label: of each row its set's size, its class and the least class of its component; classes are (id, fp), the smallest id of equal sets."""
     spark = docs.sparkSession
     texts = _texts(docs)
-    order = spark.sparkContext.broadcast(_Order(frequency_classes(texts, size, order_bits), order_bits))
+    order = spark.sparkContext.broadcast(_Order(*frequency_classes(texts, size, order_bits)))
     sets = materialize(_sets(texts, size, percent, order), "sets")
     classes = sets.where("n > 0").groupBy("fp", "fp2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     classes = materialize(classes.select("fp", "fp2", F.struct("id", "fp").alias("k"), "n", "prefix"), "classes")
@@ -208,23 +242,52 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, order_bits
     shared = materialize(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared")
     bucketed = materialize(grams.join(shared.hint("merge"), "gram"), "bucketed")
     weight = materialize(bucketed.groupBy("k").agg((F.sum("m") / F.first("n")).alias("weight")), "weight")
-    weighted = materialize(bucketed.join(weight.hint("merge"), "k"), "weighted")
-    hubs = materialize(weighted.groupBy("gram").agg(F.max(F.struct("weight", "k", "n", "at")).alias("hub")), "hubs")
-    pairs = weighted.join(hubs.hint("merge"), "gram").where((F.col("k") != F.col("hub.k")) & _possible(percent, F.col("n"), F.col("hub.n"), F.col("at"), F.col("hub.at")))
-    first = materialize(_ordered(pairs.select(F.col("k").alias("a"), F.col("hub.k").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb"))), "pairs")
-    links = materialize(_linked(first, texts, size, percent, order), "links")
-    labels = components(links)
-
-    labelled = materialize(bucketed.join(labels.hint("merge"), "k", "left").select("k", "n", "at", "gram", F.coalesce("label", "k").alias("label")), "labelled")
-    several = materialize(labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("gram"), "several")
-    open_ = materialize(labelled.join(several.hint("merge"), "gram"), "open")
-    x = open_.select("gram", F.col("k").alias("a"), F.col("n").alias("na"), F.col("at").alias("at_a"), F.col("label").alias("la"))
-    y = open_.select("gram", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("at").alias("at_b"), F.col("label").alias("lb"))
-    rest = x.join(y.hint("merge"), "gram").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _possible(percent, F.col("na"), F.col("nb"), F.col("at_a"), F.col("at_b")))
-    last = materialize(rest.select("a", "b", "na", "nb").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    weighted = materialize(bucketed.drop("m").join(weight.hint("merge"), "k"), "weighted")
+
+    def with_hubs(rows: DataFrame, by: Column) -> DataFrame:
+        """Pairs of each bucket's classes with its hub, the greatest by the order."""
+        hubs = materialize(rows.groupBy("gram").agg(F.max(F.struct(by.alias("by"), "k", "n", "at", "label")).alias("hub")), "hubs")
+        possible = (F.col("label") != F.col("hub.label")) & _possible(percent, F.col("n"), F.col("hub.n"), F.col("at"), F.col("hub.at"))
+        pairs = rows.join(hubs.hint("merge"), "gram").where(possible)
+        return _ordered(pairs.select(F.col("k").alias("a"), F.col("hub.k").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb")))
+
+    def still_open(labels: DataFrame) -> DataFrame:
+        """The rows of buckets whose classes are in several components."""
+        labelled = weighted.join(labels.hint("merge"), "k", "left").select("k", "n", "at", "gram", F.coalesce("label", "k").alias("label"))
+        labelled = materialize(labelled, "labelled")
+        several = materialize(labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("gram"), "several")
+        return materialize(labelled.join(several.hint("merge"), "gram"), "open")
+
+    def left_over(rows: DataFrame) -> tuple[float, float]:
+        """Rows, and pairs of them between components."""
+        of = rows.groupBy("gram", "label").agg(F.count(F.lit(1)).cast("double").alias("m")).groupBy("gram").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"))
+        found = of.agg(F.sum("m").alias("rows"), (F.sum(F.col("m") * F.col("m") - F.col("same")) / 2).alias("pairs")).first()
+        return found["rows"] or 0.0, found["pairs"] or 0.0
+
+    tried = materialize(with_hubs(weighted.withColumn("label", F.col("k")), F.col("weight")), "pairs")
+    links, _ = stored(lambda: _linked(tried, texts, size, percent, order), "links")
+    labels, _ = stored(lambda: components(links), "labels")
+    open_ = still_open(labels)
+    rows, pairs = left_over(open_)
+    before, turn = math.inf, 0
+    while pairs > LEFT_PAIRS * rows and pairs <= 0.75 * before:
+        before, turn = pairs, turn + 1
+        more = materialize(with_hubs(open_, F.xxhash64("k", F.lit(turn))).join(tried.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        links, _ = stored(lambda: links.unionByName(_linked(more, texts, size, percent, order)), "links")  # noqa: B023
+        tried = materialize(tried.unionByName(more), "tried")
+        labels, _ = stored(lambda: components(links), "labels")
+        open_ = still_open(labels)
+        rows, pairs = left_over(open_)
+
+    # sizes of linked sets differ by less than one band
+    band = F.floor(F.log(F.col("n")) / max(1.0001 * math.log(100 / percent), 1e-3)).cast("int")
+    x = open_.select("gram", band.alias("band"), F.col("k").alias("a"), F.col("n").alias("na"), F.col("at").alias("at_a"), F.col("label").alias("la"))
+    y = open_.select("gram", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("k").alias("b"), F.col("n").alias("nb"), F.col("at").alias("at_b"), F.col("label").alias("lb"))
+    rest = x.join(y.hint("merge"), ["gram", "band"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _possible(percent, F.col("na"), F.col("nb"), F.col("at_a"), F.col("at_b")))
+    last = materialize(rest.select("a", "b", "na", "nb").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if last.limit(1).count():
-        links = materialize(links.unionByName(_linked(last, texts, size, percent, order)), "links")
-        labels = components(links)
+        links, _ = stored(lambda: links.unionByName(_linked(last, texts, size, percent, order)), "links")
+        labels, _ = stored(lambda: components(links), "labels")
 
     of_set = classes.select("fp", "fp2", "k").join(labels.hint("merge"), "k", "left").select("fp", "fp2", "k", F.coalesce("label", "k").alias("label"))
     return sets.select("id", "text_hash", "n", "fp", "fp2").join(materialize(of_set, "labels").hint("merge"), ["fp", "fp2"], "left").select("id", "text_hash", "n", "k", "label")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import WordHashes
-from .scratch import materialize
+from .scratch import column, materialize
 
 BITS = 18
 LENGTHS = (1, 2, 3, 4)
@@ -189,6 +189,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_row
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 4000) -> DataFrame:
     """The documents whose score reaches the threshold, with all their columns."""
     columns = docs.columns
-    renamed = docs.select(F.col("text").alias("text"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)))
+    renamed = docs.select(F.col("text").alias("text"), *(column(c).alias(f"c{i}") for i, c in enumerate(columns)))
     scored = score(renamed, train(docs, labels, max_rows=max_rows), [f"c{i}" for i in range(len(columns))])
     return scored.where(F.col("score") >= threshold).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,10 +49,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ranges_for(df: DataFrame, each: int = 64 << 20) -> int:
-    """A power of two from 16 to 1024 that grows with the input's estimated bytes: ranges by which partial results of fixed total size are merged."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(1024, max(16, 1 << (size // each).bit_length()))
+def stored(build: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
+    """The table that build gives, stored, and its path; the tables that were written on the way are removed."""
+    start = len(_written)
+    done = materialize(build(), name)
+    path = _written.pop()[1]
+    for spark, old in _written[start:]:
+        remove(spark, old)
+    _written[start:] = [(done.sparkSession, path)]
+    return done, path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a stored table whose consumers are stored."""
+    remove(spark, path)
+    _written.remove((spark, path))
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of the table's bytes, at least 1."""
+    return max(1, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
 
 
 def remove(spark: SparkSession, path: str) -> None:
