@@ -7,11 +7,11 @@ Pass 1 builds a count-min sketch. What it counts for a window is the window's mi
 sub-window with the least hash: equal windows have equal minimizers at different places, so the
 minimizer's count is never below the window's, and about one place in six is counted. Partition
 sketches are sparse; they meet by ranges of cells, and what remains is one bit per cell, "two or
-more", of fixed total size, which is broadcast.
+more". It is folded to eight cells for each counted place, 2^29 cells at most, and broadcast: two rows of 64 MB or less.
 
 Pass 2 reads the texts again, keeps only windows that the sketch estimates repeated, drops later ones
 of a task at once, and groups the rest exactly by a 96-bit hash of their words, in shards of bounded
-size. A sketch that is too full for its corpus only lets more windows through to the exact pass.
+size, as many as the windows that the sketch lets through need. A sketch that is too full for its corpus only lets more of them through.
 
 Defined results: a null text has no words; a null doc_id comes before all others; rows that repeat
 doc_id and text are one document and get the same result each; of rows with equal doc_id and other
@@ -25,17 +25,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import WordHashes, mixed, sequences
-from .scratch import materialize, ranges_for
+from .scratch import column, estimated_bytes, materialize
 
-#: Cells of each of the sketch's two rows, as a power of two: 2 x 16 MB of bits are broadcast, whatever the corpus.
-SKETCH_BITS = 27
+#: Cells of each of the sketch's two rows at most, as a power of two, and ranges of cells in which partition sketches meet.
+SKETCH_BITS, RANGES = 29, 512
+#: Estimated bytes of input whose partition sketches one task merges, about.
+MERGED = 32 << 30
 #: Places or windows that a task holds before it passes them on, and windows that an exact shard gets.
 HELD, SHARD = 1_500_000, 1_500_000
 _SALT = np.uint64(0x5851F42D4C957F2D)
+_ROWS = np.uint64(0xD1B54A32D192ED03), np.uint64(0x94D049BB133111EB)
 
 
 def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -59,7 +63,8 @@ def minimizers(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cells(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64), ((hashes * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(64 - bits)).astype(np.int64)
+    """The cell in each row. A minimizer is the least of several hashes, so its own high bits would crowd the low cells."""
+    return tuple(((hashes * m) >> np.uint64(64 - bits)).astype(np.int64) for m in _ROWS)
 
 
 def _pack(values: np.ndarray, kind: str) -> bytes:
@@ -74,13 +79,39 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
 
 
-def sketch(texts: DataFrame, size: int, bits: int) -> tuple[np.ndarray, int]:
-    """Bits of cells counted twice or more, both rows after one another, and the number of windows."""
-    ranges = min(ranges_for(texts), 1 << max(bits - 3, 0))
+def _merged(batches: Iterator[pa.RecordBatch], size: int) -> tuple[np.ndarray, list[np.ndarray], list[int]]:
+    """Counts up to 2 of a range's cells, the cells of each part, and the sums of the parts' numbers."""
+    seen, parts, sums = np.zeros(size, np.uint8), [], [0, 0]
+    for batch in batches:
+        sums = [a + sum(batch.column(c).to_pylist()) for a, c in zip(sums, ("windows", "places"), strict=True)]
+        for cells, twice in zip(batch.column("cells"), batch.column("twice"), strict=True):
+            if len(cells.as_py()):
+                at = np.cumsum(_unpack(cells.as_py(), "<u4").astype(np.int64))
+                more = 1 + np.unpackbits(_unpack(twice.as_py(), "u1"))[: len(at)]
+                seen[at] = np.minimum(seen[at] + more, 2)
+                parts.append(at)
+    return seen, parts, sums
+
+
+def _folded(marks: np.ndarray, bits: int, wanted: int) -> np.ndarray:
+    """Marks of fewer cells: each is set if one of the cells that it stands for is."""
+    if wanted >= bits:
+        return marks
+    if bits - wanted >= 3:
+        return np.packbits(marks.reshape(-1, 1 << (bits - wanted - 3)).max(axis=1) > 0)
+    return np.packbits(np.unpackbits(marks).reshape(-1, 1 << (bits - wanted)).max(axis=1))
+
+
+def sketch(texts: DataFrame, size: int, bits: int) -> tuple[list[np.ndarray], int, int]:
+    """For each row the bits of cells counted twice or more, the power of two of the cells, and how many windows will pass, about."""
+    ranges = min(RANGES, 1 << max(bits - 3, 0))
     cells_per_range = (1 << bits) // ranges
+    salts = -(-estimated_bytes(texts) // MERGED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, windows, count = WordHashes(), [], 0, 0
+        context = TaskContext.get()
+        salt = context.partitionId() % salts if context else 0
 
         def emit() -> pa.RecordBatch:
             nonlocal held, windows, count
@@ -92,10 +123,12 @@ def sketch(texts: DataFrame, size: int, bits: int) -> tuple[np.ndarray, int]:
                 for r in range(ranges):
                     part = cells[cuts[r] : cuts[r + 1]] - r * cells_per_range
                     if len(part):
-                        rows.append((row * ranges + r, _pack(np.diff(part, prepend=0), "<u4"), _pack(np.packbits(n[cuts[r] : cuts[r + 1]] > 1), "u1"), 0))
-            rows.append((-1, b"", b"", windows))
+                        rows.append((row * ranges + r, salt, _pack(np.diff(part, prepend=0), "<u4"), _pack(np.packbits(n[cuts[r] : cuts[r + 1]] > 1), "u1"), 0, 0))
+            if rows:
+                rows[0] = (*rows[0][:4], windows, count)
             held, windows, count = [], 0, 0
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["range", "cells", "twice", "windows"])
+            columns = zip(*rows, strict=True) if rows else [()] * len(_PARTS)
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _PARTS, strict=True)], schema=_PARTS)
 
         for batch in batches:
             for text in batch.column("text"):
@@ -107,26 +140,32 @@ def sketch(texts: DataFrame, size: int, bits: int) -> tuple[np.ndarray, int]:
                         yield emit()
         yield emit()
 
-    def merge(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(cells_per_range, np.uint8)
-        windows = 0
-        for batch in parts:
-            windows += sum(batch.column("windows").to_pylist())
-            for cells, twice in zip(batch.column("cells"), batch.column("twice"), strict=True):
-                if len(cells.as_py()):
-                    at = np.cumsum(_unpack(cells.as_py(), "<u4").astype(np.int64))
-                    more = 1 + np.unpackbits(_unpack(twice.as_py(), "u1"))[: len(at)]
-                    seen[at] = np.minimum(seen[at] + more, 2)
-        yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([_pack(np.packbits(seen > 1), "u1")], pa.binary()), pa.array([windows], pa.int64())], names=["range", "bits", "windows"])
-
-    parts = texts.select("text").mapInArrow(run, "range int, cells binary, twice binary, windows long")
-    merged = parts.groupBy("range").applyInArrow(merge, "range int, bits binary, windows long").toArrow()  # of fixed size
-    out, windows = np.zeros(2 * (1 << bits) // 8, np.uint8), 0
-    for r in merged.to_pylist():
-        windows += r["windows"]
-        if r["range"] >= 0:
-            out[r["range"] * cells_per_range // 8 : (r["range"] + 1) * cells_per_range // 8] = _unpack(r["bits"], "u1")
-    return out, windows
+    def partial(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, _, sums = _merged(parts, cells_per_range)
+        at = np.flatnonzero(seen)
+        row = (key[0].as_py(), key[1].as_py(), _pack(np.diff(at, prepend=0), "<u4"), _pack(np.packbits(seen[at] > 1), "u1"), *sums)
+        yield pa.record_batch([pa.array([v], f.type) for v, f in zip(row, _PARTS, strict=True)], schema=_PARTS)
+
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, parts, sums = _merged(batches, cells_per_range)
+        cells, repeated = (sum(int(f(p)) for p in parts) for f in (len, lambda p: (seen[p] > 1).sum()))
+        row = (key[0].as_py(), _pack(np.packbits(seen > 1), "u1"), *sums, cells, repeated)
+        yield pa.record_batch([pa.array([v]) for v in row], names=["range", "bits", "windows", "places", "cells", "repeated"])
+
+    fields = "range int, salt int, cells binary, twice binary, windows long, places long"
+    parts = texts.select("text").mapInArrow(run, fields)
+    if salts > 1:
+        parts = parts.groupBy("range", "salt").applyInArrow(partial, fields)
+    merged = parts.groupBy("range").applyInArrow(merge, "range long, bits binary, windows long, places long, cells long, repeated long").toArrow()  # of fixed size
+    total = {c: sum(merged[c].to_pylist()) for c in ("windows", "places", "cells", "repeated")}
+    wanted = min(bits, max(ranges.bit_length() + 2, (8 * total["places"]).bit_length()))
+    rows, size_each = [np.zeros((1 << wanted) // 8, np.uint8) for _ in range(2)], (1 << wanted) // ranges // 8
+    for r, data in zip(merged["range"].to_pylist(), merged["bits"], strict=True):  # folded range by range: the whole sketch is never unpacked
+        low = r % ranges * size_each
+        rows[r // ranges][low : low + size_each] = _folded(_unpack(data.as_py(), "u1"), bits, wanted)
+    by_chance = float(np.prod([np.bitwise_count(m).sum() / (1 << wanted) for m in rows]))
+    share = total["repeated"] / max(total["cells"], 1) + by_chance
+    return rows, wanted, int(total["windows"] * min(share, 1.0))
 
 
 def _earliest(doc: np.ndarray, start: np.ndarray, key: np.ndarray, check: np.ndarray) -> np.ndarray:
@@ -140,6 +179,7 @@ def _earliest(doc: np.ndarray, start: np.ndarray, key: np.ndarray, check: np.nda
     return out
 
 
+_PARTS = pa.schema([("range", pa.int32()), ("salt", pa.int32()), ("cells", pa.binary()), ("twice", pa.binary()), ("windows", pa.int64()), ("places", pa.int64())])
 _PLACES = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
 _LEAST = np.iinfo(np.int64).min
 
@@ -195,14 +235,13 @@ def repeated(docs: DataFrame, size: int = 20, sketch_bits: int = SKETCH_BITS) ->
     """doc_id, text_hash, places: starts (little-endian unsigned 32-bit) of the document's windows that also start earlier."""
     texts = _texts(docs)
     spark = docs.sparkSession
-    marks, windows = sketch(texts, size, sketch_bits)
+    marks, bits, windows = sketch(texts, size, sketch_bits)
     shards = max(8, -(-windows // SHARD))
     shared = spark.sparkContext.broadcast(marks)
 
     def passing(places: np.ndarray) -> np.ndarray:
-        marks, ok = shared.value, np.ones(len(places), bool)
-        for row, cell in enumerate(_cells(places, sketch_bits)):
-            cell += row << sketch_bits
+        ok = np.ones(len(places), bool)
+        for marks, cell in zip(shared.value, _cells(places, bits), strict=True):
             ok &= (marks[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
         return ok
 
@@ -292,7 +331,7 @@ def covered(words: int, places: bytes, size: int) -> np.ndarray:
 def remove_repeated(docs: DataFrame, size: int = 20, sketch_bits: int = SKETCH_BITS, columns: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space), and the named columns of docs as c0, c1 and so on."""
     places = repeated(docs, size, sketch_bits)
-    named = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)))
+    named = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), *(column(c).alias(f"c{i}") for i, c in enumerate(columns)))
     left = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(f"c{i}" for i in range(len(columns)))).withColumn("text_hash", F.xxhash64("text"))
     right = places.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "places")
     both = left.join(right, left["doc_id"].eqNullSafe(right["id"]) & (left["text_hash"] == right["hash"]), "left")
@@ -315,7 +354,6 @@ def remove_repeated(docs: DataFrame, size: int = 20, sketch_bits: int = SKETCH_B
     return both.select("doc_id", F.col("text").cast("binary").alias("text"), "places", *extra).mapInArrow(run, schema)
 
 
-
 def dedup_documents(docs: DataFrame, size: int = 20) -> DataFrame:
     """docs with repeated passages removed from text; texts from which nothing goes stay as they are, n_chars follows the text."""
     columns = docs.columns
