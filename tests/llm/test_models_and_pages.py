@@ -353,3 +353,85 @@ def test_archives_are_bounded_and_ids_are_new(spark, tmp_path):
         seen |= set(ids)
     held = lambda path: sorted(tuple(x or 0 for x in r.values()) for r in rows(warc.read_archives(spark, f"file://{path}")))
     assert held(a) == held(b)
+
+
+def test_parallel_vectors_tie_by_id(spark):
+    rng = np.random.default_rng(6)
+    one, other = rng.normal(size=8), rng.normal(size=8)
+    data = [(i, (one * (0.1 + i)).tolist()) for i in range(300)] + [(1000 + i, (other * (0.3 + i / 7)).tolist()) for i in range(40)] + [(2000 + i, rng.normal(size=8).tolist()) for i in range(60)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").coalesce(3)
+    got = {}
+    for r in rows(ann.search(df, F.col("id").isin(0, 150, 1005), k=5)):
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["id"], round(r["score"], 12))
+    assert [got[0][k] for k in range(1, 6)] == [(i, 1.0) for i in (1, 2, 3, 4, 5)]
+    assert [got[150][k] for k in range(1, 6)] == [(i, 1.0) for i in (0, 1, 2, 3, 4)]
+    assert [got[1005][k][0] for k in range(1, 6)] == [1000, 1001, 1002, 1003, 1004]
+
+
+def test_directions_with_equal_cosines(spark):
+    """Unit vectors of the axes: all are at a right angle to each other, so ids alone decide."""
+    df = spark.createDataFrame([(i, [float(i % 12 == j) for j in range(12)]) for i in range(24)], "vec_id long, embedding array<float>")
+    got = sorted((r["rank"], r["id"]) for r in rows(ann.search(df, F.col("id") == 0, k=4)))
+    assert got == [(1, 12), (2, 1), (3, 2), (4, 3)]
+
+
+def test_dual_descent_against_plain_descent():
+    rng = np.random.default_rng(3)
+    found = [np.sort(rng.choice(40, 8, replace=False)).astype(np.uint32) for _ in range(60)]
+    y = np.where([20 in f or 7 in f for f in found], 1.0, -1.0)
+    ratios = np.zeros(1 << quality_classifier.BITS)
+    ratios[:40] = rng.normal(size=40)
+    cost = np.where(y > 0, 1.5, 0.7)
+    x = np.zeros((60, 41))
+    for i, f in enumerate(found):
+        v = ratios[f]
+        x[i, f] = v / np.sqrt((v * v).sum())
+    x[:, 40] = 1.0
+    objective = lambda w: 0.5 * w @ w + (cost * np.maximum(0, 1 - y * (x @ w))).sum()
+    w, b = quality_classifier._descend(found, y, ratios, cost, 3000, 0)
+    own = objective(np.append(w[:40], b))
+    plain, best = np.zeros(41), np.inf
+    for t in range(20_000):
+        plain = plain - (plain - (cost * y * (y * (x @ plain) < 1)) @ x) / (t + 10)
+        best = min(best, objective(plain))
+    assert own <= 1.001 * best and abs(own - best) < 0.02 * best
+
+
+def test_ratios_are_the_counted_ones():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.randrange(5, 30))).encode() for _ in range(40)]
+    labels = np.array([int(b"aa" in t) for t in texts])
+    indicators = quality_classifier.Indicators()
+    found = [indicators(t) for t in texts]
+    model = quality_classifier.fit(found, labels)
+    counts = [{}, {}]
+    for f, y in zip(found, labels, strict=True):
+        for k in f.tolist():
+            counts[y][k] = counts[y].get(k, 0) + 1
+    size = 1 << quality_classifier.BITS
+    total = [size + sum(c.values()) for c in counts]
+    for k in set(counts[0]) | set(counts[1]):
+        ratio = np.log((1 + counts[1].get(k, 0)) / total[1]) - np.log((1 + counts[0].get(k, 0)) / total[0])
+        assert abs(model.squares[k] - ratio * ratio) < 1e-5
+
+
+def test_labelled_sample_is_bounded(labelled):
+    docs, labels = labelled
+    copies = docs.unionByName(docs).unionByName(docs.where("doc_id is not null").withColumn("text", F.concat(F.lit("zzz "), "text")))
+    few = quality_classifier.train(copies, labels, max_rows=50, max_bytes=20_000)
+    assert few.constant is not None or np.isfinite(few.weights).all()
+    assert quality_classifier.train(copies, labels, max_bytes=0).constant == 0.5
+
+
+def test_stages_without_rows_and_with_extra_columns(spark, labelled, documents, no_documents, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    labelled[1].write.parquet(f"{tmp_path}/labels.parquet")
+    wide = documents.withColumn("a.b", F.lit("dots"))
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        assert rows(stage(spark, no_documents, str(tmp_path))) == []
+        got = stage(spark, wide, str(tmp_path))
+        if number < len(corpus_pipeline.STAGES) - 1:
+            assert got.columns == wide.columns
+            kept = rows(got)
+            assert kept and all(r["a.b"] == "dots" and r["score"] == "x" for r in kept)
+            assert all(r["n_chars"] is None or r["n_chars"] == len(r["text"]) for r in kept)

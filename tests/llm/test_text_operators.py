@@ -238,6 +238,21 @@ def test_components(documents, texts, size, percent):
         assert (r["n_shingles"], r["component_id"]) == expected[r["doc_id"]], r
 
 
+def test_template_texts_take_rounds(spark):
+    """A saturated order puts a template's n-grams first; most of its texts don't link, some do."""
+    rng = np.random.default_rng(9)
+    template = [f"t{i}" for i in range(40)]
+    found = {}
+    for i in range(90):
+        words = list(template)
+        for at in rng.choice(40, 1 + i % 3, replace=False):
+            words[at] = f"own{i // 4 if i % 2 else i}"
+        found[i] = " ".join(words + (["tail"] * (i % 30 == 0)))
+    df = spark.createDataFrame(list(found.items()), "doc_id long, text string").coalesce(2)
+    linked = {r["id"]: r["label"]["id"] if r["label"] else r["id"] for r in rows(ngram_jaccard.link_documents(df, 3, 90, order_bits=3))}
+    assert linked == {i: c for i, (_, c) in plain_components(found, 3, 90).items()}
+
+
 def test_one_of_each_group_stays(documents, texts):
     df = ngram_jaccard.keep_one(documents)
     assert df.columns == documents.columns
