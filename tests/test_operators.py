@@ -89,7 +89,7 @@ def test_title_paths_and_batches(spark):
     got = rows(lines.title_paths(spark.createDataFrame(blocks, "doc_id long, seq int, line string, size double, is_title boolean")), "seq")
     assert [r[3] for r in got] == [["A"], ["A"], ["A", "B"], ["A", "B", "C"], ["A", "D"]]
     items = spark.createDataFrame([(1, i, n) for i, n in enumerate([5, 5, 5, 30, 1])], "doc_id long, seq int, tokens int")
-    assert [r[2] for r in rows(lines.token_batches(items, 10), "seq")] == [0, 0, 1, 2, 3]
+    assert [r[4] for r in rows(lines.token_batches(items, 10), "seq", "part")] == [0, 0, 1, 2, 3, 4, 5]  # 30 is split
 
 
 def test_broken_lines(spark):
