@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexgrove.operators.layout import filled_cells, is_header_row, is_paragraph, is_section, is_title
-from lexgrove.operators.lines import _bounded, fold
+from lexgrove.operators.lines import bounded, fold
 from lexgrove.operators.matching import in_ranges
 
 # Patterns and limits that results depend on.
@@ -115,7 +115,7 @@ def general_parts(blocks: DataFrame, body_size: float = 11.0, low: int = SPLIT,
 
         def flush(force: bool) -> None:
             nonlocal sibling, held
-            texts = _bounded(held.strip(), low, high)
+            texts = bounded(held.strip(), low, high)
             held = texts.pop() if texts and len(texts[-1]) < LITTLE and not force else ""
             for text in texts:
                 number = len(out["part_id"]) + 1

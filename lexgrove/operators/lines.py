@@ -242,7 +242,8 @@ def token_batches(items: DataFrame, most: int = 20_000) -> DataFrame:
 _END = re.compile(r"[.!?](?=\s)")
 
 
-def _bounded(text: str, low: int, high: int) -> list[str]:
+def bounded(text: str, low: int, high: int) -> list[str]:
+    """The text cut after the first sentence end between low and high, else at high, until no more than low is left."""
     parts = []
     while len(text) > low:
         m = _END.search(text, low, high)
@@ -257,7 +258,7 @@ def sentence_chunks(docs: DataFrame, low: int = 10_000, high: int = 12_000) -> D
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [(d, i, p) for d, t in zip(pdf["doc_id"], pdf["text"].fillna(""), strict=True) for i, p in enumerate(_bounded(t, low, high))]
+            rows = [(d, i, p) for d, t in zip(pdf["doc_id"], pdf["text"].fillna(""), strict=True) for i, p in enumerate(bounded(t, low, high))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk", "content"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk int, content string")
