@@ -18,7 +18,7 @@ from lexgrove.operators.matching import in_ranges
 # Patterns and limits that results depend on.
 CAPITALS = r"^[A-ZÀ-ÖØ-ÝÆŒ0-9 ,'.\-–]{5,}$"
 STRUCTURE = r"(?i)^(?:PARTE|SEZIONE|DISPOSIZIONI|ALLEGATO)\b"
-CHAPTER, SUBTITLE, NUMBERED = r"^\s*[0-9]+\.\s+[A-Z][^\n]{5,60}$", r"^(?![0-9]+\.\s)[A-Z][\w\s,\-()/']{5,60}$", r"(?s)^([0-9]+)\.\s+(.{60,})"
+CHAPTER, SUBTITLE, NUMBERED = r"^\s*[0-9]+\.\s+[A-Z][^\n]{5,60}$", r"^(?![0-9]+\.\s)[A-Z][\p{L}\p{N}_\s,\-()/']{5,60}$", r"(?s)^([0-9]+)\.\s+(.{60,})"
 ACT_TYPE = r"(?i)(REGOLAMENTO\s+\((?:UE|CE|CEE)\)\s+N\.\s*[0-9]+/[0-9]+|DIRETTIVA\s+[0-9]+/[0-9]+/(?:UE|CE|CEE)|DECISIONE\s+[0-9]+/[0-9]+/(?:UE|CE|PESC)|REGOLAMENTO\s+DELEGATO\s+\(UE\)\s+[0-9]+/[0-9]+|REGOLAMENTO\s+DI\s+ESECUZIONE\s+\(UE\)\s+[0-9]+/[0-9]+)"
 INSTITUTIONS = ("CONSIGLIO DELL'UNIONE EUROPEA", "PARLAMENTO EUROPEO E DEL CONSIGLIO", "COMMISSIONE EUROPEA", "CONSIGLIO", "PARLAMENTO EUROPEO", "BANCA CENTRALE EUROPEA")
 FOOTNOTE_SIZE, LITTLE, SPLIT, SPLIT_MOST = 9.0, 50, 10_000, 12_000
@@ -41,6 +41,11 @@ def _before(c: str | Column) -> Column:
     return F.lag(c).over(Window.partitionBy("doc_id").orderBy("seq"))
 
 
+def _exact(pattern: str) -> str:
+    """The pattern with a line feed as the only end of a line, and without the vertical tab as white space."""
+    return "(?d)" + pattern.replace(r"\s", r"[\t\n\f\r ]")
+
+
 def _joined(mark: str, text: str = "line", only: Column | None = None) -> Column:
     own = F.array_sort(F.collect_list(F.struct("seq", text) if only is None else F.when(only, F.struct("seq", text))))
     return F.array_join(F.transform(own, lambda x: x[text]), mark)
@@ -85,7 +90,7 @@ def without_index(blocks: DataFrame) -> DataFrame:
     text. Text goes to the numbered paragraph above it; under a chapter or subtitle alone it is dropped, as are blank blocks and page numbers.
     """
     rows = blocks.withColumn("text", F.trim("text", F.lit(" \t\r\n"))).where((F.col("text") != "") & ~F.regexp_like("text", F.lit("^[0-9]+$")))
-    like = lambda pattern: F.regexp_like("text", F.lit(pattern))
+    like = lambda pattern: F.regexp_like("text", F.lit(_exact(pattern)))
     rows = rows.withColumns({"numbered": like(NUMBERED) & ~like(CHAPTER), "could": like(CHAPTER)})
     rows = rows.withColumn("stretch", F.count_if("numbered").over(_upto("doc_id")))
     chapter = F.col("could") & (F.count_if("could").over(_upto("doc_id", "stretch")) == 1)
@@ -94,11 +99,10 @@ def without_index(blocks: DataFrame) -> DataFrame:
     chapters = F.count_if("chapter_start").over(_upto("doc_id"))
     rows = rows.withColumns({"in_chapter": chapters, "chapter": F.last(F.when(F.col("chapter_start"), F.col("text")), ignorenulls=True).over(_upto("doc_id"))}).where("in_chapter > 0")
     rows = rows.withColumn("subtitle", F.last(F.when(F.col("subtitle_start"), F.col("text")), ignorenulls=True).over(_upto("doc_id", "in_chapter")))
-    rows = rows.withColumn("text", F.when(F.col("numbered"), F.regexp_extract("text", NUMBERED, 2)).otherwise(F.col("text"))).withColumn("number", F.when(F.col("numbered"), F.col("item")))
-    number = blocks.select("doc_id", "seq", F.regexp_extract(F.trim("text", F.lit(" \t\r\n")), NUMBERED, 1).alias("label"))
-    grouped = rows.groupBy("doc_id", "item").agg(F.min("seq").alias("first"), F.max("number").alias("number"), F.first("chapter").alias("chapter"), F.first("subtitle").alias("subtitle"), _joined(" ", "text").alias("content"))
-    kept = grouped.where("number is not null").join(number.withColumnRenamed("seq", "first"), ["doc_id", "first"])
-    return kept.select("doc_id", "item", "chapter", "subtitle", F.concat("label", F.lit(".")).alias("number"), F.trim("content").alias("content"))
+    part = lambda i: F.regexp_extract("text", _exact(NUMBERED), i)
+    rows = rows.withColumn("number", F.when(F.col("numbered"), part(1))).withColumn("text", F.when(F.col("numbered"), part(2)).otherwise(F.col("text")))
+    kept = rows.groupBy("doc_id", "item").agg(F.max("number").alias("number"), F.first("chapter").alias("chapter"), F.first("subtitle").alias("subtitle"), _joined(" ", "text").alias("content")).where("number is not null")
+    return kept.select("doc_id", "item", "chapter", "subtitle", F.concat("number", F.lit(".")).alias("number"), F.trim("content").alias("content"))
 
 
 def general_parts(blocks: DataFrame, body_size: float = 11.0, low: int = SPLIT, high: int = SPLIT_MOST) -> DataFrame:

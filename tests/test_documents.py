@@ -226,3 +226,13 @@ def test_files_move_when_done(spark, tmp_path):
         inbox.process(inbox.incoming(spark, str(box), archive=str(done)), handle, str(tmp_path / "check"), None).awaitTermination(120)
     assert sorted(r.folder for r in spark.read.parquet(out).collect()) == ["done", "failed", "failed", "failed"]
     assert len(list(done.rglob("*.txt"))) >= 1
+
+
+def test_subtitles_with_accents_and_odd_ends(spark):
+    body = "words of it " * 7
+    texts = ["1. Capo Primo", f"2. {body}", "more", "Leouieren\u00e7", "lost", f"3. {body}", "Not a subtitle\u2028", "Nor\u000bthis one"]
+    blocks = spark.createDataFrame([(d, i, t) for d in (None, 1) for i, t in enumerate(texts)], "doc_id long, seq int, text string")
+    kept = document_parsers.without_index(blocks).orderBy("doc_id", "number").collect()
+    body = body.strip()
+    parts = [(2, "1. Capo Primo", None, "2.", f"{body} more"), (4, "1. Capo Primo", "Leouieren\u00e7", "3.", f"{body} Not a subtitle\u2028 Nor\u000bthis one")]
+    assert [tuple(r) for r in kept] == [(d, *p) for d in (None, 1) for p in parts]
