@@ -255,3 +255,12 @@ def test_renamed_ids_against_all_pairs(spark):
     expected = {r["a"]: (r["m"]["distance"], r["m"]["b"]) for r in pairs.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("m")).collect()}
     got = {r["a"]: (r["distance"], r["b"]) for r in matching.renamed(left, right, "g").collect()}
     assert got == expected and {d for d, _ in got.values()} >= {0, 1, 2, 3}
+
+
+def test_common_openings_of_names(spark):
+    names = spark.range(4000).select(F.format_string("dir/EXT_Customer#%09d", "id").alias("name"))
+    catalog = spark.range(1, 4000, 2).select(F.format_string("Customer#%09d", "id").alias("known"), F.col("id").cast("string").alias("hash"))
+    looked = matching.name_lookup(names, catalog.union(spark.createDataFrame([("a/omer#00000000", "x")], "known string, hash string")))
+    assert looked.where("hash is null").count() == 1995 and looked.where("rule = 2").count() == 2000 and looked.where("hash = 'x'").count() == 5
+    # names that share their openings may not meet pair by pair
+    assert "contains(" not in looked._jdf.queryExecution().optimizedPlan().toString().lower()
