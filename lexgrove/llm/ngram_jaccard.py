@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import WordHashes, mixed, sequences
@@ -39,6 +39,8 @@ ORDER_BITS, RANGES = 24, 512
 MERGED = 32 << 30
 #: Pairs between components for each row that are left to the last round.
 LEFT_PAIRS = 8
+#: Bits of a table of ids that is broadcast, at most, as a power of two: 8 MB.
+ID_BITS = 26
 #: n-grams that a task counts before it passes the counts on.
 HELD = 3_000_000
 FRAGMENTS = 4
@@ -179,6 +181,25 @@ def _possible(percent: int, n1: Column, n2: Column, at1: Column, at2: Column) ->
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.least(n1 - at1, n2 - at2) >= least)
 
 
+def _near(bucketed: DataFrame, percent: int) -> DataFrame:
+    """The rows of buckets without those whose bucket has no other set of a size that they can be linked with."""
+    by_size = Window.partitionBy("gram").orderBy("n", "k")
+    most = F.least(100 * F.col("n") / percent, (100 + percent) * (F.col("n") - F.col("at")) / percent - F.col("n")) + 1e-6
+    below, above = 100 * F.col("_below") >= percent * F.col("n"), F.col("_above") <= most
+    sized = bucketed.withColumns({"_below": F.lag("n").over(by_size), "_above": F.lead("n").over(by_size)})
+    return sized.where(F.coalesce(below, F.lit(False)) | F.coalesce(above, F.lit(False))).drop("_below", "_above")
+
+
+def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is one of the ids, and few others: the bits of hashed ids are broadcast, so that other rows aren't exchanged."""
+    bits = 1 << min(ID_BITS, max((16 * ids.count()).bit_length(), 15))
+    bit = F.pmod(F.xxhash64("id"), F.lit(bits))
+    maps = ids.select(bit.alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_map"))
+    found = rows.withColumn("_bit", bit).withColumn("_bucket", F.bitmap_bucket_number("_bit")).withColumn("_at", F.bitmap_bit_position("_bit")).join(F.broadcast(maps), "_bucket")
+    byte = F.expr("cast(conv(hex(substring(_map, cast(_at div 8 as int) + 1, 1)), 16, 10) as int)")
+    return found.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0).select(*rows.columns)
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     """Each pair once, the smaller class first."""
     first = F.col("a") < F.col("b")
@@ -189,7 +210,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int, order) -> DataFrame:
     """The pairs whose summed overlap is enough. pairs: a stored table."""
     involved = materialize(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().select(F.col("k.id").alias("id"), F.col("k.fp").alias("wanted")), "involved")
-    rows = texts.join(involved.hint("merge"), "id")
+    rows = _among(texts, involved).join(involved.hint("merge"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, place = WordHashes(), order.value
@@ -240,7 +261,7 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, order_bits
 
     grams = classes.select("k", "n", F.posexplode("prefix").alias("at", "gram"))
     shared = materialize(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared")
-    bucketed = materialize(grams.join(shared.hint("merge"), "gram"), "bucketed")
+    bucketed = materialize(_near(grams.join(shared.hint("merge"), "gram"), percent), "bucketed")
     weight = materialize(bucketed.groupBy("k").agg((F.sum("m") / F.first("n")).alias("weight")), "weight")
     weighted = materialize(bucketed.drop("m").join(weight.hint("merge"), "k"), "weighted")
 

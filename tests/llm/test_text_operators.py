@@ -1,6 +1,7 @@
 """Operators on texts against plain versions."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -402,3 +403,20 @@ def test_columns_with_dots(spark):
     df = spark.createDataFrame([(1, "password=hunter22", "x", 17)], "doc_id long, text string, `a.b` string, n_chars long")
     got = rows(secrets.redact_documents(df))
     assert got == [{"doc_id": 1, "text": "[assign]", "a.b": "x", "n_chars": 8}]
+
+
+def test_rows_of_buckets_and_texts_that_can_link(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(60), (i, i), rng.randrange(20, 60), 0) for i in range(400)]
+    rows = [(g, k, n, rng.randrange(n // 10 + 1)) for g, k, n, _ in rows]
+    bucketed = spark.createDataFrame(rows, "gram long, k struct<id long, fp long>, n long, at int")
+    kept = {tuple(r) for r in ngram_jaccard._near(bucketed, 90).select("gram", "k.id").collect()}
+    least = lambda a, b: -(-90 * (a + b) // 190)
+    linked = {(g, k[0]) for g, k, n, at in rows for g2, k2, n2, at2 in rows if g == g2 and k != k2 and 100 * min(n, n2) >= 90 * max(n, n2) and min(n - at, n2 - at2) >= least(n, n2)}
+    assert linked <= kept and len(kept) < 0.8 * len(rows)
+
+    ids = spark.range(0, 30000, 30)
+    found = {r["id"] for r in ngram_jaccard._among(spark.range(-5, 30000).withColumn("text", F.lit("x")), ids).collect()}
+    assert found >= set(range(0, 30000, 30)) and len(found) < 5000
