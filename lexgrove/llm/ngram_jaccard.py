@@ -7,9 +7,10 @@ fragment counted apart, and the sum over fragments decides the pair exactly.
 Copies with equal sets are one class first. Two linked sets share one of their rarest n-grams, so
 classes meet in buckets of equal rare n-grams. N-grams that no other set has come first in the order and can't be
 in an overlap, so places in the order rule out most of those that only share a template. A bucket's classes are first paired with its hub alone,
-the class whose rare n-grams are the most shared; while the links leave many pairs between components, more rounds
+the class whose rare n-grams are the most shared, and the hub leaves the bucket; while the links leave many pairs between components, more rounds
 follow with other hubs, as long as they take enough of these pairs away. What remains in several components is
-paired in a last round, within bands of size. So a large group of near copies costs about as many pairs as it has members,
+paired in a last round, within bands of size. Pairs whose signatures, the parities of their n-grams in 1024 cells,
+differ in more bits than linked sets may differ in n-grams are never linked and go before texts are read. So a large group of near copies costs about as many pairs as it has members,
 and no link between components is lost.
 
 Defined results: a null or blank text has an empty set and is linked with nothing, itself its
@@ -23,6 +24,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,10 @@ ORDER_BITS, RANGES = 24, 512
 MERGED = 32 << 30
 #: Pairs between components for each row that are left to the last round.
 LEFT_PAIRS = 8
-#: Bits of a table of ids that is broadcast, at most, as a power of two: 8 MB.
+#: Bits of a table of ids or n-grams that is broadcast, at most, as a power of two: 8 MB.
 ID_BITS = 26
+#: Words of 64 bits in a signature.
+SIGNATURE = 16
 #: n-grams that a task counts before it passes the counts on.
 HELD = 3_000_000
 FRAGMENTS = 4
@@ -156,13 +160,19 @@ def _print(places: np.ndarray) -> tuple[int, int]:
     return tuple(int(mixed(places, salt, salt[0]).sum(dtype=np.uint64).view(np.int64)) for salt in (_FIRST, _SECOND))
 
 
+def _signature(places: np.ndarray) -> np.ndarray:
+    """For each of the cells of the hash, whether it has an odd number of the n-grams: two of these differ in at most as many bits as the sets in n-grams."""
+    odd = np.bincount((places & np.uint64(64 * SIGNATURE - 1)).astype(np.int64), minlength=64 * SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _sets(texts: DataFrame, size: int, percent: int, order) -> DataFrame:
-    """id, text_hash, n, fp, fp2, prefix: the rarest n-grams, one of which any linked set shares."""
+    """id, text_hash, n, fp, fp2, prefix: the rarest n-grams, one of which any linked set shares; signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, place = WordHashes(), order.value
         for batch in batches:
-            n, fp, fp2, prefix = [], [], [], []
+            n, fp, fp2, prefix, signature = [], [], [], [], []
             for text in batch.column("text"):
                 places = place(_hashes(text.as_py(), size, words))
                 a, b = _print(places)
@@ -170,14 +180,26 @@ def _sets(texts: DataFrame, size: int, percent: int, order) -> DataFrame:
                 fp.append(a)
                 fp2.append(b)
                 prefix.append(places[: len(places) + (-percent * len(places)) // 100 + 1].view(np.int64) if len(places) else places.view(np.int64))
-            yield pa.record_batch([batch.column("id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(fp2, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "text_hash", "n", "fp", "fp2", "prefix"])
+                signature.append(_signature(places))
+            columns = [pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(fp2, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(signature, pa.list_(pa.int64()))]
+            yield pa.record_batch([batch.column("id"), batch.column("text_hash"), *columns], names=["id", "text_hash", "n", "fp", "fp2", "prefix", "signature"])
+
+    return texts.mapInArrow(run, "id long, text_hash long, n long, fp long, fp2 long, prefix array<long>, signature array<long>")
+
 
-    return texts.mapInArrow(run, "id long, text_hash long, n long, fp long, fp2 long, prefix array<long>")
+def _least(percent: int, n1: Column, n2: Column) -> Column:
+    """The least overlap of linked sets of these sizes."""
+    return F.ceil(percent * (n1 + n2) / (100 + percent) - 1e-9)
+
+
+def _alike(percent: int, n1: Column, n2: Column, bits: list[tuple[Column, Column]]) -> Column:
+    """Sets of these sizes whose signatures, or foldings of them, have these words can be linked."""
+    return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in bits), F.lit(0)) <= n1 + n2 - 2 * _least(percent, n1, n2)
 
 
 def _possible(percent: int, n1: Column, n2: Column, at1: Column, at2: Column) -> Column:
     """Sets of these sizes whose first common n-gram has these places can be linked."""
-    least = F.ceil(percent * (n1 + n2) / (100 + percent) - 1e-9)
+    least = _least(percent, n1, n2)
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.least(n1 - at1, n2 - at2) >= least)
 
 
@@ -192,7 +214,7 @@ def _near(bucketed: DataFrame, percent: int) -> DataFrame:
 
 def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose id is one of the ids, and few others: the bits of hashed ids are broadcast, so that other rows aren't exchanged."""
-    bits = 1 << min(ID_BITS, max((16 * ids.count()).bit_length(), 15))
+    bits = 1 << min(ID_BITS, max((128 * ids.count()).bit_length(), 15))
     bit = F.pmod(F.xxhash64("id"), F.lit(bits))
     maps = ids.select(bit.alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_map"))
     found = rows.withColumn("_bit", bit).withColumn("_bucket", F.bitmap_bucket_number("_bit")).withColumn("_at", F.bitmap_bit_position("_bit")).join(F.broadcast(maps), "_bucket")
@@ -200,6 +222,32 @@ def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return found.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0).select(*rows.columns)
 
 
+def _exploded(classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """k, n, at, gram of the shared n-grams of prefixes, and few others: their bits are looked up before rows are made of the others."""
+    size = 1 << min(ID_BITS, max((64 * shared.count()).bit_length(), 15))
+    place = F.pmod("gram", F.lit(size)) + 1
+    maps = shared.select(place.alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("map")).toArrow()  # 8 MB at most
+    table = np.zeros((size >> 15, 4096), np.uint8)
+    for bucket, map_ in zip(maps["bucket"].to_pylist(), maps["map"], strict=True):
+        table[bucket - 1] = np.frombuffer(map_.as_py(), np.uint8)
+    known = classes.sparkSession.sparkContext.broadcast(table.reshape(-1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = known.value
+        for batch in batches:
+            prefix = batch.column("prefix")
+            lengths = prefix.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            grams, row = prefix.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lengths)), lengths)
+            bit = grams & (size - 1)
+            use = np.flatnonzero((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+            at = use - (np.cumsum(lengths) - lengths)[row[use]]
+            taken = [batch.column(c).take(pa.array(row[use])) for c in ("id", "fp", "n")]
+            yield pa.record_batch([*taken, pa.array(at, pa.int32()), pa.array(grams[use], pa.int64())], names=["id", "fp", "n", "at", "gram"])
+
+    found = classes.select("k.id", "k.fp", "n", "prefix").mapInArrow(run, "id long, fp long, n long, at int, gram long")
+    return found.select(F.struct("id", "fp").alias("k"), "n", "at", "gram")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     """Each pair once, the smaller class first."""
     first = F.col("a") < F.col("b")
@@ -256,28 +304,42 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, order_bits
     texts = _texts(docs)
     order = spark.sparkContext.broadcast(_Order(*frequency_classes(texts, size, order_bits)))
     sets = materialize(_sets(texts, size, percent, order), "sets")
-    classes = sets.where("n > 0").groupBy("fp", "fp2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    classes = materialize(classes.select("fp", "fp2", F.struct("id", "fp").alias("k"), "n", "prefix"), "classes")
+    classes = sets.where("n > 0").groupBy("fp", "fp2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("signature").alias("signature"))
+    classes = materialize(classes.select("fp", "fp2", F.struct("id", "fp").alias("k"), "n", "prefix", "signature"), "classes")
 
-    grams = classes.select("k", "n", F.posexplode("prefix").alias("at", "gram"))
+    grams = classes.select(F.explode("prefix").alias("gram"))
     shared = materialize(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared")
-    bucketed = materialize(_near(grams.join(shared.hint("merge"), "gram"), percent), "bucketed")
+    bucketed = materialize(_near(_exploded(classes, shared).join(shared.hint("merge"), "gram"), percent), "bucketed")
     weight = materialize(bucketed.groupBy("k").agg((F.sum("m") / F.first("n")).alias("weight")), "weight")
+    signatures = materialize(classes.select("k", "signature").join(weight.select("k").hint("merge"), "k"), "signatures")
     weighted = materialize(bucketed.drop("m").join(weight.hint("merge"), "k"), "weighted")
 
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The pairs whose signatures let them be linked."""
+        for side in ("a", "b"):
+            pairs = pairs.join(signatures.select(F.col("k").alias(side), F.col("signature").alias(f"s{side}")).hint("merge"), side)
+        bits = [(F.col("sa")[i], F.col("sb")[i]) for i in range(SIGNATURE)]
+        return pairs.where(_alike(percent, F.col("na"), F.col("nb"), bits)).select("a", "b", "na", "nb")
+
+    in_bucket = Window.partitionBy("gram")
+
     def with_hubs(rows: DataFrame, by: Column) -> DataFrame:
-        """Pairs of each bucket's classes with its hub, the greatest by the order."""
-        hubs = materialize(rows.groupBy("gram").agg(F.max(F.struct(by.alias("by"), "k", "n", "at", "label")).alias("hub")), "hubs")
+        """The rows of buckets with the bucket's hub, the greatest by the order."""
+        hub = F.max(F.struct(by.alias("by"), "k", "n", "at", "label")).over(in_bucket)
+        return materialize(rows.withColumns({"hub": hub, "m": F.count(F.lit(1)).over(in_bucket)}).withColumn("hub", F.col("hub").dropFields("by")), "hubs")
+
+    def pairs_of(hubs: DataFrame) -> DataFrame:
+        """Pairs of each bucket's classes with its hub."""
         possible = (F.col("label") != F.col("hub.label")) & _possible(percent, F.col("n"), F.col("hub.n"), F.col("at"), F.col("hub.at"))
-        pairs = rows.join(hubs.hint("merge"), "gram").where(possible)
-        return _ordered(pairs.select(F.col("k").alias("a"), F.col("hub.k").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb")))
+        pairs = hubs.where(possible).select(F.col("k").alias("a"), F.col("hub.k").alias("b"), F.col("n").alias("na"), F.col("hub.n").alias("nb"))
+        return alike(_ordered(pairs))
 
-    def still_open(labels: DataFrame) -> DataFrame:
-        """The rows of buckets whose classes are in several components."""
-        labelled = weighted.join(labels.hint("merge"), "k", "left").select("k", "n", "at", "gram", F.coalesce("label", "k").alias("label"))
-        labelled = materialize(labelled, "labelled")
-        several = materialize(labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("gram"), "several")
-        return materialize(labelled.join(several.hint("merge"), "gram"), "open")
+    def still_open(hubs: DataFrame, labels: DataFrame) -> DataFrame:
+        """The rows of buckets whose classes are in several components, without the hubs, whose pairs are done."""
+        left = hubs.where((F.col("m") > 2) & (F.col("k") != F.col("hub.k"))).select("k", "n", "at", "gram")
+        labelled = left.join(labels.hint("merge"), "k", "left").select("k", "n", "at", "gram", F.coalesce("label", "k").alias("label"))
+        several = labelled.withColumns({"low": F.min("label").over(in_bucket), "high": F.max("label").over(in_bucket)}).where("low != high")
+        return materialize(several.drop("low", "high"), "open")
 
     def left_over(rows: DataFrame) -> tuple[float, float]:
         """Rows, and pairs of them between components."""
@@ -285,27 +347,33 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, order_bits
         found = of.agg(F.sum("m").alias("rows"), (F.sum(F.col("m") * F.col("m") - F.col("same")) / 2).alias("pairs")).first()
         return found["rows"] or 0.0, found["pairs"] or 0.0
 
-    tried = materialize(with_hubs(weighted.withColumn("label", F.col("k")), F.col("weight")), "pairs")
+    hubs = with_hubs(weighted.withColumn("label", F.col("k")), F.col("weight"))
+    tried = materialize(pairs_of(hubs), "pairs")
     links, _ = stored(lambda: _linked(tried, texts, size, percent, order), "links")
     labels, _ = stored(lambda: components(links), "labels")
-    open_ = still_open(labels)
+    open_ = still_open(hubs, labels)
     rows, pairs = left_over(open_)
     before, turn = math.inf, 0
     while pairs > LEFT_PAIRS * rows and pairs <= 0.75 * before:
         before, turn = pairs, turn + 1
-        more = materialize(with_hubs(open_, F.xxhash64("k", F.lit(turn))).join(tried.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        hubs = with_hubs(open_, F.xxhash64("k", F.lit(turn)))
+        more = materialize(pairs_of(hubs).join(tried.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), "pairs")
         links, _ = stored(lambda: links.unionByName(_linked(more, texts, size, percent, order)), "links")  # noqa: B023
         tried = materialize(tried.unionByName(more), "tried")
         labels, _ = stored(lambda: components(links), "labels")
-        open_ = still_open(labels)
+        open_ = still_open(hubs, labels)
         rows, pairs = left_over(open_)
 
-    # sizes of linked sets differ by less than one band
+    # sizes of linked sets differ by less than one band; the first of a pair is the smaller, signatures are folded to one word
+    folded = signatures.select("k", reduce(Column.bitwiseXOR, [F.col("signature")[i] for i in range(SIGNATURE)]).alias("bits"))
+    open_ = materialize(open_.join(folded.hint("merge"), "k"), "open")
     band = F.floor(F.log(F.col("n")) / max(1.0001 * math.log(100 / percent), 1e-3)).cast("int")
-    x = open_.select("gram", band.alias("band"), F.col("k").alias("a"), F.col("n").alias("na"), F.col("at").alias("at_a"), F.col("label").alias("la"))
-    y = open_.select("gram", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("k").alias("b"), F.col("n").alias("nb"), F.col("at").alias("at_b"), F.col("label").alias("lb"))
-    rest = x.join(y.hint("merge"), ["gram", "band"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _possible(percent, F.col("na"), F.col("nb"), F.col("at_a"), F.col("at_b")))
-    last = materialize(rest.select("a", "b", "na", "nb").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    x = open_.select("gram", band.alias("band"), F.col("k").alias("a"), F.col("n").alias("na"), F.col("at").alias("at_a"), F.col("label").alias("la"), F.col("bits").alias("sa"))
+    y = open_.select("gram", F.explode(F.array(band - 1, band)).alias("band"), F.col("k").alias("b"), F.col("n").alias("nb"), F.col("at").alias("at_b"), F.col("label").alias("lb"), F.col("bits").alias("sb"))
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    possible = _alike(percent, F.col("na"), F.col("nb"), [(F.col("sa"), F.col("sb"))]) & _possible(percent, F.col("na"), F.col("nb"), F.col("at_a"), F.col("at_b"))
+    rest = alike(_ordered(x.join(y.hint("merge"), ["gram", "band"]).where(smaller & (F.col("la") != F.col("lb")) & possible)))
+    last = materialize(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if last.limit(1).count():
         links, _ = stored(lambda: links.unionByName(_linked(last, texts, size, percent, order)), "links")
         labels, _ = stored(lambda: components(links), "labels")

@@ -420,3 +420,31 @@ def test_rows_of_buckets_and_texts_that_can_link(spark):
     ids = spark.range(0, 30000, 30)
     found = {r["id"] for r in ngram_jaccard._among(spark.range(-5, 30000).withColumn("text", F.lit("x")), ids).collect()}
     assert found >= set(range(0, 30000, 30)) and len(found) < 5000
+
+
+def test_template_texts_make_few_pairs(spark, monkeypatch):
+    """Texts of a template that differ in too much to link are told apart by their signatures, before pairs are made."""
+    rng = np.random.default_rng(4)
+    template = [f"t{i}" for i in range(60)]
+    found = {}
+    for i in range(80):
+        words = list(template)
+        for at in range(i % 4, 60, 15):
+            words[at] = f"own{rng.integers(0, 40)}"
+        found[i] = " ".join(words)
+    found |= {100 + i: found[i] + " tail" for i in range(0, 80, 8)}
+    linked, pairs = ngram_jaccard._linked, []
+    monkeypatch.setattr(ngram_jaccard, "_linked", lambda tried, *a: pairs.append(tried.count()) or linked(tried, *a))
+    df = spark.createDataFrame(list(found.items()), "doc_id long, text string").coalesce(2)
+    got = {r["id"]: r["label"]["id"] for r in rows(ngram_jaccard.link_documents(df, 3, 90, order_bits=3))}
+    assert got == {i: c for i, (_, c) in plain_components(found, 3, 90).items()}
+    assert sum(pairs) <= 2 * len(found)
+
+
+def test_signatures_differ_in_no_more_than_the_sets():
+    rng = np.random.default_rng(6)
+    for n in (1, 30, 3000):
+        every = rng.integers(0, 2**63, 2 * n, np.int64).astype(np.uint64)
+        a, b = every[: n + n // 10], every[n // 10 : n + n // 5]
+        bits = sum(int(x).bit_count() for x in (ngram_jaccard._signature(a) ^ ngram_jaccard._signature(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b)) and (n == 1 or bits > 0)
