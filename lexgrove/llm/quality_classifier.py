@@ -167,17 +167,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     return fit([np.frombuffer(found, np.uint32) for _, found, _ in texts_of], np.array([y for *_, y in texts_of], np.int64))
 
 
-def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """The columns, then score: the probability-like value of label 1, from the text alone."""
+def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text") -> DataFrame:
+    """The columns, then score: the probability-like value of label 1, from the text alone. A text among the columns goes to Python once."""
     schema = docs.select(*columns).schema.add("score", "double")
+    once = text in columns and schema[text].dataType.typeName() in ("string", "binary")
+    at = columns.index(text) if once else len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indicators = Indicators()
         for batch in batches:
-            scores = [model.score(indicators(t.as_py() or b"")) for t in batch.column(0)]
-            yield pa.record_batch([*batch.columns[1:], pa.array(scores, pa.float64())], names=schema.names)
+            scores = [model.score(indicators(t.as_py() or b"")) for t in batch.column(at).cast(pa.binary())]
+            yield pa.record_batch([*batch.columns[: len(columns)], pa.array(scores, pa.float64())], names=schema.names)
 
-    return docs.select(F.col("text").cast("string").cast("binary").alias("_input"), *columns).mapInArrow(run, schema)
+    given = docs.select(*columns) if once else docs.select(*columns, F.col(text).cast("string").cast("binary").alias("_input"))
+    return given.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 4000) -> DataFrame:
@@ -189,6 +192,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_row
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 4000) -> DataFrame:
     """The documents whose score reaches the threshold, with all their columns."""
     columns = docs.columns
-    renamed = docs.select(F.col("text").alias("text"), *(column(c).alias(f"c{i}") for i, c in enumerate(columns)))
-    scored = score(renamed, train(docs, labels, max_rows=max_rows), [f"c{i}" for i in range(len(columns))])
+    renamed = docs.select(*(column(c).alias(f"c{i}") for i, c in enumerate(columns)))
+    text = next(f"c{i}" for i, c in enumerate(columns) if c.lower() == "text")
+    scored = score(renamed, train(docs, labels, max_rows=max_rows), [f"c{i}" for i in range(len(columns))], text)
     return scored.where(F.col("score") >= threshold).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))

@@ -281,6 +281,15 @@ def test_rejected_documents_go(labelled):
     assert {r["doc_id"] for r in rows(kept)} == predicted
 
 
+def test_texts_go_to_python_once(labelled, monkeypatch):
+    docs, labels = labelled
+    kind, seen = type(docs), []
+    whole = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **b: seen.append(self.columns) or whole(self, *a, **b))
+    quality_classifier.keep_good(docs, labels)
+    assert len(seen[-1]) == len(docs.columns)
+
+
 def test_classifier_without_labels(labelled):
     docs, labels = labelled
     assert {r["score"] for r in rows(quality_classifier.classify(docs, labels.limit(0)))} == {0.5}
