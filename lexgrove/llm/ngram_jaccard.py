@@ -46,7 +46,7 @@ ID_BITS = 26
 #: Words of 64 bits in a signature.
 SIGNATURE = 16
 #: n-grams that a task counts before it passes the counts on.
-HELD = 3_000_000
+HELD = 1_000_000
 FRAGMENTS = 4
 NO_ID = np.iinfo(np.int64).min
 _FIRST, _SECOND = np.array([0x2545F4914F6CDD1D], np.uint64), np.array([0x9FB21C651E98DF25], np.uint64)
@@ -86,10 +86,12 @@ def frequency_classes(texts: DataFrame, size: int, bits: int = ORDER_BITS) -> tu
 
         def emit() -> pa.RecordBatch:
             nonlocal held, count
-            cells, n = np.unique((np.concatenate([np.empty(0, np.uint64), *held]) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+            joined = np.concatenate([np.empty(0, np.uint64), *held])
+            held, count = [], 0
+            joined >>= np.uint64(64 - bits)
+            cells, n = np.unique(joined.view(np.int64), return_counts=True)
             cuts = np.searchsorted(cells, np.arange(ranges + 1) * per_range)
             parts = [(r, slice(a, b)) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-            held, count = [], 0
             columns = [pa.array([r for r, _ in parts], pa.int32()), pa.array([salt] * len(parts), pa.int32()), pa.array([_packed(np.diff(cells[p] - r * per_range, prepend=0)) for r, p in parts], pa.binary()), pa.array([_packed(n[p]) for _, p in parts], pa.binary())]
             return pa.record_batch(columns, names=["range", "salt", "cells", "counts"])
 
