@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import WordHashes, mixed, sequences
-from .scratch import estimated_bytes, materialize, stored
+from .scratch import estimated_bytes, give_back, materialize, stored
 
 #: Cells of the count sketch at most, as a power of two, and ranges of them: one byte of each cell is broadcast, 16 MB at most, as the driver holds a few copies.
 ORDER_BITS, RANGES = 24, 512
@@ -45,6 +45,8 @@ LEFT_PAIRS = 8
 ID_BITS = 26
 #: Words of 64 bits in a signature.
 SIGNATURE = 16
+#: Cells that the driver looks at together.
+PIECE = 1 << 16
 #: n-grams that a task counts before it passes the counts on.
 HELD = 1_000_000
 FRAGMENTS = 4
@@ -132,7 +134,7 @@ def frequency_classes(texts: DataFrame, size: int, bits: int = ORDER_BITS) -> tu
         classes[r * per_range : (r + 1) * per_range] = np.frombuffer(zlib.decompress(digits.as_py()), np.uint8)
         grams += total
     wanted = min(bits, max(int(grams).bit_length(), 8))
-    return classes.reshape(1 << wanted, -1).max(axis=1), wanted
+    return classes if wanted == bits else classes.reshape(1 << wanted, -1).max(axis=1), wanted
 
 
 class _Order:
@@ -140,7 +142,8 @@ class _Order:
 
     def __init__(self, classes: np.ndarray, bits: int):
         self.classes, self.bits = classes, bits
-        weight = np.bincount(classes, minlength=64) * np.exp2(np.arange(64) - 1.0)  # n-grams by class, about
+        cells = sum(np.bincount(classes[i : i + PIECE], minlength=64) for i in range(0, len(classes), PIECE))  # of all at once it makes 8 bytes a cell
+        weight = cells * np.exp2(np.arange(64) - 1.0)  # n-grams by class, about
         reach = np.cumsum(weight) / max(weight.sum(), 1.0)
         self.cuts = []
         for f in range(1, FRAGMENTS):
@@ -305,6 +308,7 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, order_bits
     spark = docs.sparkSession
     texts = _texts(docs)
     order = spark.sparkContext.broadcast(_Order(*frequency_classes(texts, size, order_bits)))
+    give_back()
     sets = materialize(_sets(texts, size, percent, order), "sets")
     classes = sets.where("n > 0").groupBy("fp", "fp2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("signature").alias("signature"))
     classes = materialize(classes.select("fp", "fp2", F.struct("id", "fp").alias("k"), "n", "prefix", "signature"), "classes")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import WordHashes
-from .scratch import column, materialize
+from .scratch import column, give_back, materialize
 
 BITS = 18
 LENGTHS = (1, 2, 3, 4)
@@ -82,14 +82,15 @@ class Model:
 
 
 def _descend(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, cost: np.ndarray, rounds: int, seed: int) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the hinge loss; the intercept is a feature of value 1."""
-    values = [ratios[r] / (np.sqrt((ratios[r] ** 2).sum()) or 1.0) for r in rows]
-    square = np.array([(v * v).sum() + 1.0 for v in values])
+    """Dual coordinate descent for the hinge loss; the intercept is a feature of value 1. Values are made anew at each visit: all of them would take twice the memory of the rows."""
+    norm = np.array([np.sqrt((ratios[r] ** 2).sum()) or 1.0 for r in rows])
+    square = np.array([((ratios[r] / n) ** 2).sum() + 1.0 for r, n in zip(rows, norm, strict=True)])
     w, intercept, alpha, order = np.zeros(1 << BITS), 0.0, np.zeros(len(rows)), np.random.default_rng(seed)
     for _ in range(rounds):
         moved = 0.0
         for i in order.permutation(len(rows)):
-            r, v = rows[i], values[i]
+            r = rows[i]
+            v = ratios[r] / norm[i]
             gradient = y[i] * (v @ w[r] + intercept) - 1
             new = min(max(alpha[i] - gradient / square[i], 0.0), cost[i])
             if step := (new - alpha[i]) * y[i]:
@@ -163,8 +164,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     fits = np.cumsum([n for *_, n in sizes]) <= max_bytes
     use = [i for (_, i, _), ok in zip(sizes, fits, strict=True) if ok]
     own = rows.where(F.col("doc_id").isin(use)).toArrow() if len(use) < len(sizes) else rows.toArrow()
-    texts_of = sorted(zip(own["doc_id"].to_pylist(), own["found"].to_pylist(), own["y"].to_pylist(), strict=True))
-    return fit([np.frombuffer(found, np.uint32) for _, found, _ in texts_of], np.array([y for *_, y in texts_of], np.int64))
+    order = np.argsort(own["doc_id"].to_numpy())
+    grams, y = [np.frombuffer(own["found"][int(i)].as_buffer(), np.uint32) for i in order], own["y"].to_numpy()[order].astype(np.int64)  # no copies
+    model = fit(grams, y)
+    del own, grams
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text") -> DataFrame:

@@ -30,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import WordHashes, mixed, sequences
-from .scratch import column, estimated_bytes, materialize
+from .scratch import column, estimated_bytes, give_back, materialize
 
 #: Cells of each of the sketch's two rows at most, as a power of two, and ranges of cells in which partition sketches meet.
 SKETCH_BITS, RANGES = 29, 512
 #: Estimated bytes of input whose partition sketches one task merges, about.
 MERGED = 32 << 30
+#: Bytes of the sketch that the driver counts together.
+PIECE = 1 << 16
 #: Places or windows that a task holds before it passes them on, and windows that an exact shard gets.
 HELD, SHARD = 1_500_000, 1_500_000
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -163,7 +165,7 @@ def sketch(texts: DataFrame, size: int, bits: int) -> tuple[list[np.ndarray], in
     for r, data in zip(merged["range"].to_pylist(), merged["bits"], strict=True):  # folded range by range: the whole sketch is never unpacked
         low = r % ranges * size_each
         rows[r // ranges][low : low + size_each] = _folded(_unpack(data.as_py(), "u1"), bits, wanted)
-    by_chance = float(np.prod([np.bitwise_count(m).sum() / (1 << wanted) for m in rows]))
+    by_chance = float(np.prod([sum(int(np.bitwise_count(m[i : i + PIECE]).sum()) for i in range(0, len(m), PIECE)) / (1 << wanted) for m in rows]))
     share = total["repeated"] / max(total["cells"], 1) + by_chance
     return rows, wanted, int(total["windows"] * min(share, 1.0))
 
@@ -238,6 +240,8 @@ def repeated(docs: DataFrame, size: int = 20, sketch_bits: int = SKETCH_BITS) ->
     marks, bits, windows = sketch(texts, size, sketch_bits)
     shards = max(8, -(-windows // SHARD))
     shared = spark.sparkContext.broadcast(marks)
+    del marks  # the broadcast has its own copy on disk
+    give_back()
 
     def passing(places: np.ndarray) -> np.ndarray:
         ok = np.ones(len(places), bool)

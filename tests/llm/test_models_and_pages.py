@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -424,6 +425,16 @@ def test_ratios_are_the_counted_ones():
         assert abs(model.squares[k] - ratio * ratio) < 1e-5
 
 
+def test_fit_takes_no_more_memory_than_its_rows():
+    rng = np.random.default_rng(5)
+    found = [np.sort(rng.choice(1 << quality_classifier.BITS, 20_000, replace=False)).astype(np.uint32) for _ in range(600)]
+    tracemalloc.start()
+    quality_classifier.fit(found, np.arange(600) // 2 % 2, rounds=1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < sum(f.nbytes for f in found)
+
+
 def test_labelled_sample_is_bounded(labelled):
     docs, labels = labelled
     copies = docs.unionByName(docs).unionByName(docs.where("doc_id is not null").withColumn("text", F.concat(F.lit("zzz "), "text")))

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import tracemalloc
+import weakref
 import zlib
 from collections import Counter
 
@@ -448,3 +450,32 @@ def test_signatures_differ_in_no_more_than_the_sets():
         a, b = every[: n + n // 10], every[n // 10 : n + n // 5]
         bits = sum(int(x).bit_count() for x in (ngram_jaccard._signature(a) ^ ngram_jaccard._signature(b)).view(np.uint64))
         assert bits <= len(np.setxor1d(a, b)) and (n == 1 or bits > 0)
+
+
+def test_order_takes_no_more_memory_than_the_classes():
+    classes = np.random.default_rng(4).integers(0, 30, 1 << 22).astype(np.uint8)
+    tracemalloc.start()
+    order = ngram_jaccard._Order(classes, 22)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < classes.nbytes
+    weight = np.bincount(classes, minlength=64) * np.exp2(np.arange(64) - 1.0)
+    reach = np.cumsum(weight) / weight.sum()
+    for f, cut in enumerate(order.cuts, 1):
+        c = cut >> 58
+        assert reach[c - 1] <= f / ngram_jaccard.FRAGMENTS <= reach[c]
+
+
+def test_driver_drops_the_sketch_once_it_is_sent(documents, monkeypatch):
+    made, alive = [], []
+    sketch, materialize = substring_dedup.sketch, substring_dedup.materialize
+
+    def watched(*args):
+        rows, bits, windows = sketch(*args)
+        made.extend(map(weakref.ref, rows))
+        return rows, bits, windows
+
+    monkeypatch.setattr(substring_dedup, "sketch", watched)
+    monkeypatch.setattr(substring_dedup, "materialize", lambda df, name: alive.extend(r() is not None for r in made) or materialize(df, name))
+    substring_dedup.repeated(documents, 20, 12)
+    assert alive == [False, False]
