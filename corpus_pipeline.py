@@ -2,36 +2,61 @@
 
 Each stage takes what the one before kept, stored as Parquet. All but the last return the columns of
 documents. The stages follow the operators' defined results for nulls, empty texts and repeated rows.
+Each stage has the session send Python batches of a few MB.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lexgrove.llm import ngram_jaccard, packing, quality_classifier, scratch, secrets, substring_dedup
 from lexgrove.llm.queries import table, tokenizer_file
 
+#: Bytes of a batch of rows that goes to Python, about. Spark's own bound is 10000 rows, 26 MB of these texts, of which the JVM and the worker hold copies at once.
+BATCH = 4 << 20
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage; from then on batches for Python are bounded. The result is read later, so the bound stays with the session."""
+
+    @wraps(stage)
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+        return stage(spark, docs, sf_dir)
+
+    return bounded
+
 
+@in_small_batches
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@in_small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8 stays."""
     return ngram_jaccard.keep_one(docs, size=5, percent=80)
 
 
+@in_small_batches
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words under 20-word windows that occur earlier go from the text."""
     return substring_dedup.dedup_documents(docs, size=20)
 
 
+@in_small_batches
 def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the text give way to their kind in brackets."""
     return secrets.redact_documents(docs)
 
 
+@in_small_batches
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All texts as pieces in sequences of 1024 tokens."""
     return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), capacity=1024, end_id=2)

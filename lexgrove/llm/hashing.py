@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words that a worker keeps; it starts anew beyond that.
-CACHE = 500_000
+#: Words that a worker keeps, about 12 MB; it starts anew beyond that.
+CACHE = 100_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _D = np.uint64(0xA0761D6478BD642F)
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import WordHashes, mixed, sequences
-from .scratch import estimated_bytes, give_back, materialize, stored
+from .scratch import estimated_bytes, give_back, materialize, stored, tidy
 
 #: Cells of the count sketch at most, as a power of two, and ranges of them: one byte of each cell is broadcast, 16 MB at most, as the driver holds a few copies.
 ORDER_BITS, RANGES = 24, 512
@@ -125,7 +125,7 @@ def frequency_classes(texts: DataFrame, size: int, bits: int = ORDER_BITS) -> tu
         yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(digits.tobytes(), 1)], pa.binary()), pa.array([float(total.sum())])], names=["range", "digits", "total"])
 
     fields = "range int, salt int, cells binary, counts binary"
-    parts = texts.select("text").mapInArrow(run, fields)
+    parts = texts.select("text").mapInArrow(tidy(run), fields)
     if salts > 1:
         parts = parts.groupBy("range", "salt").applyInArrow(partial, fields)
     classes, grams = np.zeros(1 << bits, np.uint8), 0.0
@@ -189,7 +189,7 @@ def _sets(texts: DataFrame, size: int, percent: int, order) -> DataFrame:
             columns = [pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(fp2, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(signature, pa.list_(pa.int64()))]
             yield pa.record_batch([batch.column("id"), batch.column("text_hash"), *columns], names=["id", "text_hash", "n", "fp", "fp2", "prefix", "signature"])
 
-    return texts.mapInArrow(run, "id long, text_hash long, n long, fp long, fp2 long, prefix array<long>, signature array<long>")
+    return texts.mapInArrow(tidy(run), "id long, text_hash long, n long, fp long, fp2 long, prefix array<long>, signature array<long>")
 
 
 def _least(percent: int, n1: Column, n2: Column) -> Column:
@@ -249,7 +249,7 @@ def _exploded(classes: DataFrame, shared: DataFrame) -> DataFrame:
             taken = [batch.column(c).take(pa.array(row[use])) for c in ("id", "fp", "n")]
             yield pa.record_batch([*taken, pa.array(at, pa.int32()), pa.array(grams[use], pa.int64())], names=["id", "fp", "n", "at", "gram"])
 
-    found = classes.select("k.id", "k.fp", "n", "prefix").mapInArrow(run, "id long, fp long, n long, at int, gram long")
+    found = classes.select("k.id", "k.fp", "n", "prefix").mapInArrow(tidy(run), "id long, fp long, n long, at int, gram long")
     return found.select(F.struct("id", "fp").alias("k"), "n", "at", "gram")
 
 
@@ -278,7 +278,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int, order)
                                 column.append(value)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())), strict=True)], names=["id", "fp", "f", "grams"])
 
-    parts = rows.select("id", "wanted", "text").mapInArrow(run, "id long, fp long, f int, grams array<long>")
+    parts = rows.select("id", "wanted", "text").mapInArrow(tidy(run), "id long, fp long, f int, grams array<long>")
     parts = materialize(parts.select(F.struct("id", "fp").alias("k"), "f", "grams"), "fragments")
     each = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("f"))
     left = parts.select(F.col("k").alias("a"), "f", F.col("grams").alias("left"))

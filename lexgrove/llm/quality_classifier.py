@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import WordHashes
-from .scratch import column, give_back, materialize
+from .scratch import column, give_back, materialize, tidy
 
 BITS = 18
 LENGTHS = (1, 2, 3, 4)
@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "y", "found"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    found = texts.join(F.broadcast(known), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, found binary")  # known has max_rows rows at most
+    found = texts.join(F.broadcast(known), "doc_id").select("doc_id", "y", "text").mapInArrow(tidy(run), "doc_id long, y int, found binary")  # known has max_rows rows at most
     rows = materialize(found.groupBy("doc_id", "y").agg(F.min("found").alias("found")), "labelled")
     sizes = sorted((r["h"], r["doc_id"], r["n"]) for r in rows.select("doc_id", F.xxhash64("doc_id").alias("h"), F.octet_length("found").alias("n")).collect())  # max_rows rows at most
     fits = np.cumsum([n for *_, n in sizes]) <= max_bytes
@@ -185,7 +185,7 @@ def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text")
             yield pa.record_batch([*batch.columns[: len(columns)], pa.array(scores, pa.float64())], names=schema.names)
 
     given = docs.select(*columns) if once else docs.select(*columns, F.col(text).cast("string").cast("binary").alias("_input"))
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(tidy(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 4000) -> DataFrame:

@@ -6,7 +6,7 @@ import atexit
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -89,6 +89,16 @@ def give_back() -> None:
         return
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives its freed memory back: Spark keeps idle workers, and they share the executor's memory with the JVM."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:

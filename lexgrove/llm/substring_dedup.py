@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import WordHashes, mixed, sequences
-from .scratch import column, estimated_bytes, give_back, materialize
+from .scratch import column, estimated_bytes, give_back, materialize, tidy
 
 #: Cells of each of the sketch's two rows at most, as a power of two, and ranges of cells in which partition sketches meet.
 SKETCH_BITS, RANGES = 29, 512
@@ -155,7 +155,7 @@ def sketch(texts: DataFrame, size: int, bits: int) -> tuple[list[np.ndarray], in
         yield pa.record_batch([pa.array([v]) for v in row], names=["range", "bits", "windows", "places", "cells", "repeated"])
 
     fields = "range int, salt int, cells binary, twice binary, windows long, places long"
-    parts = texts.select("text").mapInArrow(run, fields)
+    parts = texts.select("text").mapInArrow(tidy(run), fields)
     if salts > 1:
         parts = parts.groupBy("range", "salt").applyInArrow(partial, fields)
     merged = parts.groupBy("range").applyInArrow(merge, "range long, bits binary, windows long, places long, cells long, repeated long").toArrow()  # of fixed size
@@ -292,7 +292,7 @@ def repeated(docs: DataFrame, size: int = 20, sketch_bits: int = SKETCH_BITS) ->
                         yield emit()
         yield emit()
 
-    found = materialize(texts.mapInArrow(run, "shard int, bucket int, data binary"), "windows")
+    found = materialize(texts.mapInArrow(tidy(run), "shard int, bucket int, data binary"), "windows")
 
     def group(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = [[] for _ in range(5)]
@@ -355,7 +355,7 @@ def remove_repeated(docs: DataFrame, size: int = 20, sketch_bits: int = SKETCH_B
                 kept.append(b" ".join(words).decode("utf-8", "replace"))
             yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *(batch.column(c) for c in extra)], names=schema.names)
 
-    return both.select("doc_id", F.col("text").cast("binary").alias("text"), "places", *extra).mapInArrow(run, schema)
+    return both.select("doc_id", F.col("text").cast("binary").alias("text"), "places", *extra).mapInArrow(tidy(run), schema)
 
 
 def dedup_documents(docs: DataFrame, size: int = 20) -> DataFrame:

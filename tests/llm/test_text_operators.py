@@ -9,9 +9,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from lexgrove.llm import ngram_jaccard, packing, quality_rules, secrets, substring_dedup
+import corpus_pipeline
+from lexgrove.llm import hashing, ngram_jaccard, packing, quality_rules, scratch, secrets, substring_dedup
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -479,3 +482,32 @@ def test_driver_drops_the_sketch_once_it_is_sent(documents, monkeypatch):
     monkeypatch.setattr(substring_dedup, "materialize", lambda df, name: alive.extend(r() is not None for r in made) or materialize(df, name))
     substring_dedup.repeated(documents, 20, 12)
     assert alive == [False, False]
+
+
+def test_batches_of_the_pipeline_are_bounded(spark, documents):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    try:
+        for _, stage in (s for s in corpus_pipeline.STAGES if s[0] in ("substring dedup", "secret scans", "best-fit packing")):
+            spark.conf.set(name, 1 << 30)
+            stage(spark, documents.limit(3), "")
+            rows = spark.range(0, 9000, 1, 1).select(F.repeat(F.lit("x"), 3000).alias("text")).mapInArrow(sizes, "n long, bytes long").collect()
+            assert sum(r["n"] for r in rows) == 9000 and max(r["bytes"] for r in rows) < 2 * corpus_pipeline.BATCH
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def test_workers_keep_little(monkeypatch):
+    words = hashing.WordHashes()
+    some = [b"w%d" % i for i in range(150_000)]
+    first = words.of(some).tolist()
+    assert len(words) <= 100_000 and words.of(some[::-1]).tolist() == first[::-1]
+    given = []
+    monkeypatch.setattr(scratch, "give_back", lambda: given.append(True))
+    batches = [pa.record_batch([pa.array([i])], names=["n"]) for i in range(3)]
+    assert list(scratch.tidy(lambda them: (b for b in them))(iter(batches))) == batches and given == [True]
