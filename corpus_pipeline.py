@@ -15,18 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from lexgrove.llm import ngram_jaccard, packing, quality_classifier, scratch, secrets, substring_dedup
 from lexgrove.llm.queries import table, tokenizer_file
 
-#: Bytes of a batch of rows that goes to Python, about. Spark's own bound is 10000 rows, 26 MB of these texts, of which the JVM and the worker hold copies at once.
-BATCH = 4 << 20
+BATCH = scratch.BATCH
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def in_small_batches(stage: Stage) -> Stage:
-    """The stage; from then on batches for Python are bounded. The result is read later, so the bound stays with the session."""
+    """The stage; from then on batches for Python are bounded."""
 
     @wraps(stage)
     def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+        scratch.small_batches(spark)
         return stage(spark, docs, sf_dir)
 
     return bounded

@@ -15,7 +15,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from math import isqrt
 
 import numpy as np
@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import materialize, small_batches, tidy
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
-#: Entries of a worker's word cache; it starts anew beyond that.
-CACHE = 300_000
+#: Entries of each of the two generations of a worker's word cache; the older goes when the younger is full.
+CACHE = 100_000
 #: Pieces of one length that are ranked together, about, or the square root of their number if that is more.
 RANKED = 1_000
 
@@ -41,15 +41,18 @@ class TokenBytes(dict):
     """Words, with the space before them, to their ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, encode):
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise _Uneven
-        if len(self) >= CACHE:
-            self.clear()
-        ids = np.asarray(self.encode(" " + word), "<u4").tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            if not word or word[0].isspace() or word[-1].isspace():
+                raise _Uneven
+            ids = np.asarray(self.encode(" " + word), "<u4").tobytes()
         if len(word) < 100:
+            if len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
@@ -64,11 +67,10 @@ class ByteBPE:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         special = {t["content"] for t in spec["added_tokens"]}
         self.special = re.compile("|".join(map(re.escape, sorted(special)))) if special else re.compile(r"(?!)")
         printable = [b for lo, hi in ((33, 126), (161, 172), (174, 255)) for b in range(lo, hi + 1)]
@@ -79,6 +81,13 @@ class ByteBPE:
         self.whole = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.words = TokenBytes(self.whole)
 
+    @cached_property
+    def library(self):
+        """Loaded for the first text with a special token."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit bytes."""
         if not text:
@@ -116,7 +125,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFram
                     start += length
             yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), PIECES)
 
 
 class CapacityTree:
@@ -207,9 +216,10 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
             place = rank - row[:, 1]
             yield pa.record_batch([*(batch.column(c) for c in columns), pa.array(row[:, 3] + place // row[:, 2]), pa.array(row[:, 5] + place % row[:, 2] * length)], names=[*columns, "sequence_id", "offset"])
 
-    return ranked.select(*columns, (F.col("row") - 1 + F.col("before")).alias("rank")).mapInArrow(run, PLACED)
+    return ranked.select(*columns, (F.col("row") - 1 + F.col("before")).alias("rank")).mapInArrow(tidy(run), PLACED)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
-    """Pack all documents into sequences of at most `capacity` tokens; one row per piece."""
+    """Pack all documents into sequences of at most `capacity` tokens; one row per piece. Batches for Python stay bounded in the session."""
+    small_batches(docs.sparkSession)
     return place(materialize(tokenize(docs, path, capacity, end_id), "pieces"), capacity)

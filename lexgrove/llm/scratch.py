@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch of rows that goes to Python, about. Spark's own bound is 10000 rows, 26 MB of these texts, of which the JVM and the worker hold copies at once.
+BATCH = 4 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -80,6 +83,11 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on batches for Python are bounded. Results are read later, so the bound stays with the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def give_back() -> None:
     """Freed memory that Arrow and the C library keep for later goes back to the system, as Python shares the driver's with the JVM."""
     pa.default_memory_pool().release_unused()

@@ -340,6 +340,25 @@ def test_ids_are_the_librarys(text):
     assert np.frombuffer(packing.tokenizer(PATH)(text), "<u4").tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
 
 
+def test_packing_bounds_memory(spark, documents, monkeypatch):
+    """Batches of a few MB, a small word cache, memory given back after both passes, the library only for special tokens."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, tidied = spark.conf.get(name, None), []
+    monkeypatch.setattr(packing, "tidy", lambda run: tidied.append(run) or run)
+    try:
+        spark.conf.set(name, 1 << 30)
+        packing.pack_documents(documents, PATH)
+        assert int(spark.conf.get(name)) == scratch.BATCH <= 4 << 20 and len(tidied) == 2
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+    encode = packing.ByteBPE(PATH)
+    text = " ".join(f"w{i}" for i in range(250_000))
+    assert np.frombuffer(encode(text), "<u4").tolist() == encode.whole(text)
+    assert len(encode.words) <= 100_000 and len(encode.words.older) <= 100_000 and "library" not in vars(encode)
+    encode("x<|endoftext|>y")
+    assert "library" in vars(encode)
+
+
 def test_packing_without_rows(no_documents):
     assert rows(packing.pack_documents(no_documents, PATH)) == []
 
